@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvspark.llm import decontaminate, importance, pieces, pii, quality_rules, secrets, simhash, token_counts, url_rules
+from kvspark.llm import decontaminate, importance, pieces, pii, quality_rules, secrets, simhash, suffixes, token_counts, url_rules
 from kvspark.llm.base import table
 
 
@@ -42,6 +42,10 @@ def op7_checked_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.cut_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op9_interval_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), url_rules.RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -52,7 +56,7 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_importance_resampling, op2_entropy_secrets, op3_decision_list, op4_segment_popcount, op5_spaced_seeds,
-    op6_two_tier_tokens, op7_checked_pii, op9_interval_urls, op10_merge_dropout,
+    op6_two_tier_tokens, op7_checked_pii, op8_suffix_merge, op9_interval_urls, op10_merge_dropout,
 )}
 
 ORACLES = {
