@@ -1,4 +1,309 @@
-"""Registered queries over the driver's tables, each with its SQL."""
+"""Registered queries over the driver's tables, each with its SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+``events`` is read as a log: key is the padded user id, seq the event's number plus one, and
+an event of type ``error`` deletes. Order is not part of a result, so ordered queries carry ``pos``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kvspark.functions.keys import REVERSE, numeric_key
+from kvspark.operators import compaction, resolve
+from kvspark.operators.resolve import Shape
+from kvspark.plans import planner
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+# Parameters of the queries.
+KEY = "0000000000000007"
+LOW, HIGH = "0000000000000010", "0000000000000050"
+PREFIX = "00000000000000"
+S1, S2, OLDEST = 400, 900, 600
+BUCKETS = 8
+
+EVENTS = """
+log AS (
+  SELECT lpad(cast(user_id AS varchar), 16, '0') AS key, event_id + 1 AS seq,
+         CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS vtype, event_type, value
+  FROM events)"""
+RESOLVED = "newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log{where}) WHERE rn = 1)"
+
+
+def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rows.select(
+        numeric_key(F.col("user_id")).alias("key"), (F.col("event_id") + 1).alias("seq"),
+        F.when(F.col("event_type") == "error", 0).otherwise(1).alias("vtype"), "event_type", "value",
+    )
+
+
+def query(name: str, sql: str):
+    def register(f):
+        QUERIES[name], ORACLES[name] = f, sql.strip()
+        return f
+
+    return register
+
+
+def _newest(where: str = "") -> str:
+    return f"WITH {EVENTS}, {RESOLVED.format(where=where)}"
+
+
+LIVE = "key, seq, event_type, value"
+
+
+def _live(df: DataFrame) -> DataFrame:
+    return df.select("key", "seq", "event_type", "value")
+
+
+def _pos(df: DataFrame, *order) -> DataFrame:
+    """Ranks a result that a limit or a key range has made small."""
+    return df.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+
+
+@query("kv_latest", f"{_newest()} SELECT {LIVE} FROM newest WHERE vtype = 1")
+def kv_latest(spark, sf_dir):
+    return _live(resolve.visible(events_log(spark, sf_dir)))
+
+
+@query("kv_snapshot_latest", f"{_newest(f' WHERE seq <= {S1}')} SELECT {LIVE} FROM newest WHERE vtype = 1")
+def kv_snapshot_latest(spark, sf_dir):
+    return _live(resolve.visible(events_log(spark, sf_dir), S1))
+
+
+@query("kv_point_get", f"{_newest()} SELECT {LIVE} FROM newest WHERE vtype = 1 AND key = '{KEY}'")
+def kv_point_get(spark, sf_dir):
+    return _live(resolve.get(events_log(spark, sf_dir), KEY))
+
+
+@query("kv_get_deleted", f"{_newest()} SELECT {LIVE} FROM newest WHERE vtype = 1 AND key IN (SELECT key FROM newest WHERE vtype = 0)")
+def kv_get_deleted(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    return _live(resolve.multi_get(log, resolve.tombstones(log).select("key")))
+
+
+@query("kv_get_missing", f"{_newest()} SELECT {LIVE} FROM newest WHERE vtype = 1 AND key = 'absent'")
+def kv_get_missing(spark, sf_dir):
+    return _live(resolve.get(events_log(spark, sf_dir), "absent"))
+
+
+@query("kv_multi_get", f"{_newest()} SELECT {LIVE} FROM newest WHERE vtype = 1 AND key IN (SELECT lpad(cast(c_custkey AS varchar), 16, '0') FROM customer)")
+def kv_multi_get(spark, sf_dir):
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(numeric_key(F.col("c_custkey")).alias("key"))
+    return _live(resolve.multi_get(events_log(spark, sf_dir), keys))
+
+
+@query("kv_range_scan", f"{_newest()} SELECT {LIVE}, row_number() OVER (ORDER BY key) AS pos FROM newest WHERE vtype = 1 AND key >= '{LOW}' AND key < '{HIGH}'")
+def kv_range_scan(spark, sf_dir):
+    return _pos(_live(resolve.range_scan(events_log(spark, sf_dir), LOW, HIGH)), "key")
+
+
+@query("kv_reverse_range_scan", f"{_newest()} SELECT {LIVE}, row_number() OVER (ORDER BY key DESC) AS pos FROM newest WHERE vtype = 1 AND key >= '{LOW}' AND key < '{HIGH}'")
+def kv_reverse_range_scan(spark, sf_dir):
+    return _pos(_live(resolve.range_scan(events_log(spark, sf_dir), LOW, HIGH, reverse=True)), F.desc("key"))
+
+
+@query("kv_seek_limit", f"{_newest()} SELECT {LIVE}, row_number() OVER (ORDER BY key) AS pos FROM newest WHERE vtype = 1 AND key >= '{LOW}' ORDER BY key LIMIT 10")
+def kv_seek_limit(spark, sf_dir):
+    return _pos(_live(resolve.seek(events_log(spark, sf_dir), LOW, limit=10)), "key")
+
+
+@query("kv_reverse_scan_limit", f"{_newest()} SELECT {LIVE}, row_number() OVER (ORDER BY key DESC) AS pos FROM newest WHERE vtype = 1 ORDER BY key DESC LIMIT 10")
+def kv_reverse_scan_limit(spark, sf_dir):
+    return _pos(_live(resolve.range_scan(events_log(spark, sf_dir), reverse=True, limit=10)), F.desc("key"))
+
+
+@query("kv_seek_for_prev", f"{_newest()} SELECT {LIVE} FROM newest WHERE vtype = 1 AND key <= '{HIGH}x' ORDER BY key DESC LIMIT 1")
+def kv_seek_for_prev(spark, sf_dir):
+    return _live(resolve.seek_for_prev(events_log(spark, sf_dir), f"{HIGH}x"))
+
+
+@query("kv_prefix_scan", f"{_newest()} SELECT {LIVE} FROM newest WHERE vtype = 1 AND starts_with(key, '{PREFIX}')")
+def kv_prefix_scan(spark, sf_dir):
+    return _live(resolve.prefix_scan(events_log(spark, sf_dir), PREFIX))
+
+
+@query("kv_count", f"{_newest()} SELECT count(*) AS n_live FROM newest WHERE vtype = 1")
+def kv_count(spark, sf_dir):
+    return resolve.visible(events_log(spark, sf_dir)).agg(F.count("*").alias("n_live"))
+
+
+@query("kv_history", f"WITH {EVENTS} SELECT key, seq, vtype, event_type, value, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log")
+def kv_history(spark, sf_dir):
+    return resolve.history(events_log(spark, sf_dir)).withColumn("rn", F.col("rn").cast("bigint"))
+
+
+@query("kv_tombstones", f"{_newest()} SELECT key, seq FROM newest WHERE vtype = 0")
+def kv_tombstones(spark, sf_dir):
+    return resolve.tombstones(events_log(spark, sf_dir)).select("key", "seq")
+
+
+@query("kv_snapshot_diff", f"""
+WITH {EVENTS},
+a AS (SELECT key, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE seq <= {S1}) WHERE rn = 1 AND vtype = 1),
+b AS (SELECT key, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE seq <= {S2}) WHERE rn = 1 AND vtype = 1)
+SELECT coalesce(a.key, b.key) AS key, coalesce(a.seq, 0) AS old_seq, coalesce(b.seq, 0) AS new_seq,
+       CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM a FULL JOIN b ON a.key = b.key WHERE a.seq IS DISTINCT FROM b.seq""")
+def kv_snapshot_diff(spark, sf_dir):
+    return resolve.snapshot_diff(events_log(spark, sf_dir), S1, S2).fillna(0, ["old_seq", "new_seq"])  # 0: not live
+
+
+@query("kv_changes_since", f"WITH {EVENTS} SELECT key, seq, vtype FROM log WHERE seq > {S2}")
+def kv_changes_since(spark, sf_dir):
+    return resolve.changes_since(events_log(spark, sf_dir), S2).select("key", "seq", "vtype")
+
+
+_BATCH = """
+base AS (SELECT max(seq) AS top FROM log),
+ops AS (
+  SELECT lpad(cast(c_custkey AS varchar), 16, '0') AS key, row_number() OVER (ORDER BY c_custkey) AS op,
+         CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END AS vtype, c_mktsegment AS event_type, c_acctbal AS value FROM customer),
+both_logs AS (SELECT key, seq, vtype, event_type, value FROM log UNION ALL SELECT key, top + op, vtype, event_type, value FROM ops, base)"""
+
+
+@query("kv_batch_apply", f"WITH {EVENTS}, {_BATCH} SELECT {LIVE} FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM both_logs) WHERE rn = 1 AND vtype = 1")
+def kv_batch_apply(spark, sf_dir):
+    from kvspark.operators.batch import index_ops
+
+    log = events_log(spark, sf_dir)
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment", "c_acctbal")
+    top = log.agg(F.max("seq")).first()[0] or 0
+    ops = index_ops(customers, ["c_custkey"]).select(
+        numeric_key(F.col("c_custkey")).alias("key"), (F.col("op_index") + top + 1).alias("seq"),
+        F.when(F.col("c_custkey") % 3 == 0, 0).otherwise(1).alias("vtype"), F.col("c_mktsegment").alias("event_type"), F.col("c_acctbal").alias("value"),
+    )
+    return _live(resolve.visible(log.unionByName(ops)))
+
+
+@query("kv_merge_sources", f"WITH {EVENTS} SELECT key, seq, vtype, event_type, value FROM log")
+def kv_merge_sources(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    changed = log.filter("seq % 2 = 0").withColumn("event_type", F.lit("older source"))
+    return resolve.merge_sources([log.filter("seq % 3 = 0"), log.filter("seq % 3 <> 0"), changed]).select("key", "seq", "vtype", "event_type", "value")
+
+
+_LAG = f"""
+WITH {EVENTS},
+ranked AS (SELECT *, lag(seq) OVER (PARTITION BY key ORDER BY seq DESC) AS prev, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log),
+pruned AS (SELECT * FROM ranked WHERE prev IS NULL OR prev > {OLDEST})"""
+
+
+@query("kv_compact_prune", f"{_LAG} SELECT key, seq, vtype, event_type, value FROM pruned")
+def kv_compact_prune(spark, sf_dir):
+    return compaction.prune(events_log(spark, sf_dir), OLDEST).drop("__newest")
+
+
+@query("kv_compact_tombstone_elision", f"""{_LAG}
+SELECT key, seq, vtype, event_type, value FROM pruned
+WHERE NOT (vtype = 0 AND seq <= {OLDEST} AND NOT EXISTS (
+  SELECT 1 FROM (VALUES ('{LOW}', '{HIGH}'), ('0000000000000100', '0000000000000120')) AS d(smallest, largest) WHERE key BETWEEN smallest AND largest))""")
+def kv_compact_tombstone_elision(spark, sf_dir):
+    deeper = spark.createDataFrame([(LOW, HIGH), ("0000000000000100", "0000000000000120")], "smallest string, largest string")
+    rows = compaction.prune(events_log(spark, sf_dir), OLDEST)
+    return compaction.elide_tombstones(rows, OLDEST, deeper).drop("__newest")
+
+
+@query("kv_compact_filter_remove", f"{_LAG} SELECT key, seq, vtype, event_type, value FROM pruned WHERE NOT (rn = 1 AND seq <= {OLDEST} AND event_type = 'click')")
+def kv_compact_filter_remove(spark, sf_dir):
+    rows = compaction.prune(events_log(spark, sf_dir), OLDEST)
+    rule = compaction.CompactionFilter(keep=F.col("event_type") != "click", mode="plain")
+    return compaction.apply_filter(rows, OLDEST, rule, False).drop("__newest")
+
+
+@query("kv_compact_filter_change", f"{_LAG} SELECT key, seq, vtype, event_type, CASE WHEN rn = 1 AND seq <= {OLDEST} AND vtype = 1 THEN -1.0 ELSE value END AS value FROM pruned")
+def kv_compact_filter_change(spark, sf_dir):
+    rows = compaction.prune(events_log(spark, sf_dir), OLDEST)
+    return compaction.apply_filter(rows, OLDEST, compaction.CompactionFilter(value=F.lit(-1.0), mode="plain"), False).drop("__newest")
+
+
+@query("kv_compact_full", f"{_newest()} SELECT key, seq, vtype, event_type, value FROM newest WHERE vtype = 1")
+def kv_compact_full(spark, sf_dir):
+    return compaction.compact(events_log(spark, sf_dir), 1 << 55)
+
+
+_FILES = f"""
+WITH {EVENTS},
+sized AS (SELECT *, 8 + length(key) + length(event_type) AS bytes, cast(substr(key, 15, 2) AS integer) % {BUCKETS} AS number FROM log),
+files AS (SELECT number % 3 AS level, number, sum(bytes) AS bytes, count(*) AS n_rows, min(key) AS smallest, max(key) AS largest FROM sized GROUP BY 1, 2)"""
+
+
+def _files(spark, sf_dir):
+    sized = events_log(spark, sf_dir).withColumns({"bytes": 8 + F.length("key") + F.length("event_type"), "number": F.substring("key", 15, 2).cast("int") % BUCKETS})
+    return sized.groupBy((F.col("number") % 3).alias("level"), "number").agg(
+        F.sum("bytes").alias("bytes"), F.count("*").alias("n_rows"), F.min("key").alias("smallest"), F.max("key").alias("largest")
+    )
+
+
+@query("kv_file_ranges", f"{_FILES} SELECT level, number, cast(bytes AS bigint) AS bytes, n_rows, smallest, largest FROM files")
+def kv_file_ranges(spark, sf_dir):
+    return _files(spark, sf_dir)
+
+
+@query("kv_level_stats", f"{_FILES} SELECT level, count(*) AS n_files, cast(sum(bytes) AS bigint) AS bytes FROM files GROUP BY level")
+def kv_level_stats(spark, sf_dir):
+    return _files(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n_files"), F.sum("bytes").alias("bytes"))
+
+
+@query("kv_level_scores", f"{_FILES} SELECT level, CASE WHEN level = 0 THEN count(*) / {planner.L0_FILES}.0 ELSE sum(bytes) / (10485760.0 * power(10, level - 1)) END AS score FROM files GROUP BY level")
+def kv_level_scores(spark, sf_dir):
+    level = F.col("level")
+    limit = F.lit(float(planner.BASE_BYTES)) * F.pow(F.lit(10.0), level - 1)
+    return _files(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).select("level", F.when(level == 0, F.col("n") / float(planner.L0_FILES)).otherwise(F.col("b") / limit).alias("score"))
+
+
+@query("kv_approx_sizes", f"""
+WITH {EVENTS}, ranges(range_id, low, high) AS (VALUES (0, '{LOW}', '{HIGH}'), (1, '{HIGH}', '0000000000000090'), (2, '0000000000000090', '0000000000000090'))
+SELECT range_id, cast(coalesce(sum(8 + length(key) + length(event_type)), 0) AS bigint) AS bytes
+FROM ranges LEFT JOIN log ON key >= low AND key < high GROUP BY range_id""")
+def kv_approx_sizes(spark, sf_dir):
+    log, bounds = events_log(spark, sf_dir), [(LOW, HIGH), (HIGH, "0000000000000090"), ("0000000000000090", "0000000000000090")]
+    size = 8 + F.length("key") + F.length("event_type")
+    one = log.agg(*[F.coalesce(F.sum(F.when((F.col("key") >= a) & (F.col("key") < b), size)), F.lit(0)).cast("bigint").alias(str(i)) for i, (a, b) in enumerate(bounds)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(i).alias("range_id"), F.col(str(i)).alias("bytes")) for i in range(len(bounds))])).alias("r")).select("r.*")
+
+
+_LINES = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+
+
+@query("kv_lineitem_versions", f"""
+WITH v AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS seq FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY seq DESC) AS rn FROM v)
+SELECT l_orderkey, l_linenumber, seq, l_partkey, l_quantity, l_extendedprice FROM n WHERE rn = 1 AND l_returnflag <> 'R'""")
+def kv_lineitem_versions(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rest = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    # the newest of a total order is its maximum, and its number is the count: no window is needed
+    top = rows.groupBy("l_orderkey", "l_linenumber").agg(F.max(F.struct(*rest)).alias("t"), F.count("*").alias("seq"))
+    return top.filter("t.l_returnflag <> 'R'").select("l_orderkey", "l_linenumber", "seq", "t.l_partkey", "t.l_quantity", "t.l_extendedprice")
+
+
+@query("kv_reverse_comparator", f"{_newest()} SELECT key, seq, row_number() OVER (ORDER BY key DESC) AS pos FROM newest WHERE vtype = 1")
+def kv_reverse_comparator(spark, sf_dir):
+    log = events_log(spark, sf_dir).select(REVERSE.column(F.col("key").cast("binary")).alias("sort_key"), "key", "seq", "vtype")
+    live = resolve.visible(log, shape=Shape(keys=("sort_key",)))
+    return _pos(live.select("key", "seq", "sort_key"), "sort_key").drop("sort_key")
+
+
+@query("kv_conversation_range", "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id BETWEEN 3 AND 40")
+def kv_conversation_range(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.lit(1).cast("bigint").alias("seq"), F.lit(1).alias("vtype"), "role", "text")
+    return resolve.range_scan(rows, 3, 41, shape=Shape(keys=("conv_id", "turn"))).select("conv_id", "turn", "role", "text")
+
+
+@query("kv_pages_prefix", "SELECT url, page_id + 1 AS seq FROM pages WHERE starts_with(url, 'https://blog.')")
+def kv_pages_prefix(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("key"), (F.col("page_id") + 1).alias("seq"), F.lit(1).alias("vtype"))
+    return resolve.prefix_scan(rows, "https://blog.").select(F.col("key").alias("url"), "seq")
+
+
+@query("kv_orders_multi_get", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)")
+def kv_orders_multi_get(spark, sf_dir):
+    log = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") + 1).alias("seq"), F.lit(1).alias("vtype"), "o_custkey", "o_orderstatus")
+    keys = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    return resolve.multi_get(log, keys, shape=Shape(keys=("o_orderkey",))).select("o_orderkey", "o_custkey", "o_orderstatus")

@@ -1,0 +1 @@
+"""Tables on disk."""
