@@ -5,7 +5,8 @@ holds the merges that are possible, best first; one that a keyed hash picks is s
 The key is the seed, the unit, its variant, and the place and piece of the merge. Each occurrence takes one of
 ``VARIANTS`` variants by the document's own key and its place, so equal units
 are cut in several ways, and a worker encodes each unit and variant once. Without
-dropout the result is the library's.
+dropout the result is the library's, which reads a literal U+2581 as a space; with it,
+that mark is spelled in bytes, so every text comes back as it was.
 """
 
 from __future__ import annotations
@@ -93,7 +94,10 @@ class Variant(dict):
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= CACHE // VARIANTS:
             self.clear()
-        ids = self.pieces.merge(unit.replace(" ", "\u2581"), self.dropout, self.key)
+        ids: list[int] = []
+        for part in re.split("(\u2581)", unit) if self.dropout else [unit]:
+            literal = self.dropout and part == "\u2581"  # the mark itself would decode as a space; its bytes do not
+            ids += [self.pieces.byte_ids[b] for b in part.encode()] if literal else self.pieces.merge(part.replace(" ", "\u2581"), self.dropout, self.key)
         self[unit] = packed = b"".join(i.to_bytes(4, "little") for i in ids)
         return packed
 
