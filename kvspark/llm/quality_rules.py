@@ -171,11 +171,12 @@ def learn_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     )
     # at most max_labelled rows of two numbers: bounded, so it can be sent to all tasks
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    stats = text_stats(rows, "text", "stats")
+    stats = F.col("stats")
     found = (
-        stats.filter(~base_failed(F.col("stats"))).select("id", "good", *[c.alias(n) for n, c in ratios(F.col("stats")).items()])
-        .groupBy("id", "good").agg(*[F.min(n).alias(n) for n in RATIOS])  # repeated rows count once
-        .orderBy(F.xxhash64("id"), "id").limit(max_labelled).toPandas()
+        text_stats(rows, "text", "stats").select("id", "good", base_failed(stats).alias("failed"), *[c.alias(n) for n, c in ratios(stats).items()])
+        # repeated rows count once; the base test comes after the aggregate, where the statistics need not be computed again for it
+        .groupBy("id", "good").agg(F.max("failed").alias("failed"), *[F.min(n).alias(n) for n in RATIOS])
+        .filter(~F.col("failed")).orderBy(F.xxhash64("id"), "id").limit(max_labelled).toPandas()
     )
     return cover({n: found[n].to_numpy(float) for n in RATIOS}, found["good"].to_numpy(float) == 0, **options)
 
