@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvspark.errors import Corruption, InvalidArgument
-from kvspark.schema import BATCH, DELETE, LOG, MAX_SEQ, PUT
+from kvspark.schema import BATCH, DELETE, MAX_SEQ, PUT
 
 _HEADER = 12
 
@@ -71,7 +71,7 @@ class WriteBatch:
 
 def assign_sequence(batch: DataFrame, last_seq: int) -> DataFrame:
     """Log rows of a batch DataFrame: ``seq = last_seq + 1 + op_index``. The batch gives its own order, never the partitions'."""
-    return batch.select("key", (F.col("op_index") + last_seq + 1).alias("seq"), "vtype", "value").to(LOG)
+    return batch.select(F.col("key").cast("binary").alias("key"), (F.col("op_index") + last_seq + 1).cast("long").alias("seq"), F.col("vtype").cast("int").alias("vtype"), F.col("value").cast("binary").alias("value"))
 
 
 def index_ops(ops: DataFrame, order: list[str]) -> DataFrame:
