@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from kvspark.llm.base import checkpoint, fresh
 from kvspark.llm.words import LOWER, WORD
@@ -31,39 +32,66 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np
 _LANE = (np.arange(8, dtype=np.uint16) * 256)[None, :]
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """64 bits; a bit is 1 if over half the shingle hashes have it. No words, or null: 0."""
+def shingle_hashes(text: str | None, shingle: int = 4) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words, or of all words if there are fewer; none for no words or null."""
     words = WORD.findall((text or "").encode().translate(LOWER))
     n = len(words)
-    if not n:
-        return 0
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if n <= shingle:
-        hashes = np.array([digest(joined, SEED)], np.uint64)
-    else:
-        size = np.fromiter(map(len, words), np.int64, n)
-        end = np.cumsum(size + 1) - 1
-        start = (end - size).tolist()
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(start, end[shingle - 1 :].tolist(), strict=False)], np.uint64)
+        return np.array([digest(joined, SEED)] * (n > 0), np.uint64)
+    size = np.fromiter(map(len, words), np.int64, n)
+    end = np.cumsum(size + 1) - 1
+    start = (end - size).tolist()
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(start, end[shingle - 1 :].tolist(), strict=False)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits; a bit is 1 if over half the hashes have it. No hashes: 0."""
+    if not len(hashes):
+        return 0
     seen = np.bincount((hashes.astype(">u8").view(np.uint8).reshape(-1, 8) + _LANE).ravel(), minlength=2048).reshape(8, 256)
     return int.from_bytes(np.packbits((seen @ _BITS).ravel() * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = 4, out: str = "fingerprint") -> DataFrame:
-    """Adds the fingerprint as a signed long; the text column is left out. Text by text, whatever its length."""
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
+#: Hashes in a sketch; two texts with no more different shingles than this are compared exactly.
+SKETCH = 128
+
+
+def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = 4, out: str = "fingerprint", sketch: str | None = None) -> DataFrame:
+    """Adds the fingerprint as a signed long; the text column is left out. Text by text, whatever its length.
+
+    ``sketch`` names a further column: the ``SKETCH`` smallest different shingle hashes.
+    """
     kept = [f for f in df.schema.fields if f.name != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            marks = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts)).view(np.int64)
+            hashes = [shingle_hashes(t.as_py(), shingle) for t in batch.column(batch.schema.get_field_index(text_col))]
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(marks)], [*[f.name for f in kept], out])
+            columns.append(pa.array(np.fromiter(map(majority, hashes), np.uint64, len(hashes)).view(np.int64)))
+            if sketch:
+                columns.append(pa.array([np.unique(h)[:SKETCH].view(np.int64) for h in hashes], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     schema = type(df.schema)(list(kept)).add(out, "long")
+    if sketch:
+        schema = schema.add(sketch, ArrayType(LongType()))
     return df.mapInArrow(run, schema)
 
 
+def resemblance(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two shingle sets from their sketches; exact if together they have ``SKETCH`` hashes at most. Two empty sets: 1."""
+    # signed order is as good as any: sketches hold the smallest unsigned hashes, so order by the flipped sign bit
+    flip = lambda x: F.transform(x, lambda v: v.bitwiseXOR(F.lit(-(1 << 63))))
+    both = F.slice(F.sort_array(F.array_union(flip(a), flip(b))), 1, SKETCH)
+    common = F.size(F.array_intersect(F.array_intersect(both, flip(a)), flip(b)))
+    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(F.try_divide(common.cast("double"), F.size(both).cast("double")))
+
+
 def _masks(groups: int) -> list[int]:
     """The bits of each group of two-bit segments."""
     cuts = [round(32 * g / groups) for g in range(groups + 1)]
@@ -89,10 +117,12 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.bit_count(odd) + F.bit_count(far) * 2
 
 
-def near_pairs(marks: DataFrame, distance: int = 4, groups: int = 7) -> DataFrame:
+def near_pairs(marks: DataFrame, distance: int = 4, groups: int = 7, fine: bool = False) -> DataFrame:
     """Pairs (a, b), a < b, of different values of the column ``mark`` at ``distance`` or fewer differing bits, once each.
 
     ``marks`` holds each value once. No cell has a cap; the work in one grows with the square of the different fingerprints in it.
+    With ``fine``, cells hold fingerprints that agree in a set's bits, not in its counts alone: fewer, and as sure to meet, which
+    larger distances need.
     """
     if not 0 < distance < groups <= 32:
         raise ValueError("distance must be positive and below the number of groups, which is at most 32")
@@ -100,11 +130,12 @@ def near_pairs(marks: DataFrame, distance: int = 4, groups: int = 7) -> DataFram
     sets = list(combinations(range(groups), groups - distance))
     unions = [_signed(sum(masks[g] for g in s)) for s in sets]
     counted = marks.select("mark", segment_counts(F.col("mark")).alias("counts"))
+    of = "mark" if fine else "counts"
     cells = counted.select(
-        F.posexplode(F.array(*[F.xxhash64(F.lit(k), F.col("counts").bitwiseAND(F.lit(u))) for k, u in enumerate(unions)])).alias("set", "cell"), "mark", "counts"
+        F.posexplode(F.array(*[F.xxhash64(F.lit(k), F.col(of).bitwiseAND(F.lit(u))) for k, u in enumerate(unions)])).alias("set", "cell"), "mark", "counts"
     )
     left, right = cells.alias("l"), cells.alias("r")
-    differs = F.col("l.counts").bitwiseXOR(F.col("r.counts"))
+    differs = F.col(f"l.{of}").bitwiseXOR(F.col(f"r.{of}"))
     first = F.lit(len(sets))
     for k in range(len(sets) - 1, -1, -1):  # the first set whose groups all agree
         first = F.when(differs.bitwiseAND(F.lit(unions[k])) == 0, F.lit(k)).otherwise(first)
@@ -138,30 +169,39 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4, groups: int = 7) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4, groups: int = 7, similarity: float | None = None) -> DataFrame:
     """One row per input row: id, fingerprint (signed long), component_id (the smallest id that can be reached).
 
     Null and empty texts have fingerprint 0 and are linked like any other. Null ids get the component
-    of their fingerprint; a component without any id has a null one.
+    of their fingerprint; a component without any id has a null one. With ``similarity``, different fingerprints
+    are linked only if the shingle sets of their first documents are as similar, judged by their sketches.
     """
-    rows = checkpoint(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", shingle, "mark"))
+    sketch = None if similarity is None else "sketch"
+    rows = checkpoint(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", shingle, "mark", sketch))
     marks = rows.groupBy("mark").agg(F.min("id").alias("low"))
-    roots = components(near_pairs(marks.select("mark"), distance, groups))
+    pairs = near_pairs(marks.select("mark"), distance, groups, fine=similarity is not None)
+    if similarity is not None:
+        first = rows.groupBy("mark").agg(F.min_by("sketch", "id").alias("sketch"))
+        a, b = (first.select(F.col("mark").alias(n), F.col("sketch").alias(f"of_{n}")) for n in "ab")
+        pairs = pairs.join(a, "a").join(b, "b").filter(resemblance(F.col("of_a"), F.col("of_b")) >= similarity).select("a", "b")
+    roots = components(pairs)
     linked = marks.join(roots, marks["mark"] == roots["node"], "left").select("mark", "low", F.coalesce("root", "mark").alias("root"))
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     named = linked.join(lows, "root").select("mark", "component_id")
     return rows.join(named, "mark").select("id", F.col("mark").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 8, shingle: int = 5, groups: int = 10, similarity: float | None = 0.8) -> DataFrame:
     """One row of each component, columns unchanged: that of the smallest id, then text hash.
 
+    By default near duplicates share four fifths of their five-word shingles. Of such pairs those at ``distance`` or fewer bits are found.
+
     Of rows that share both id and text one stays, whichever of them. Rows with a null id are told apart by their texts.
     """
     number, digest = fresh(docs, "number", "digest")
     marked = docs.withColumn(digest, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     key = F.struct(F.col(id_col).alias("id"), F.col(digest).alias("digest"))
-    found = near_duplicates(marked.select(key.alias("key"), text_col), "key", text_col, **options)
+    found = near_duplicates(marked.select(key.alias("key"), text_col), "key", text_col, distance, shingle, groups, similarity)
     first = found.groupBy("component_id").agg(F.count("*").alias("n")).select(F.col("component_id.id").alias(number), F.col("component_id.digest").alias("first"))
     kept = marked.join(first, marked[id_col].eqNullSafe(first[number]) & (marked[digest] == first["first"]), "left_semi")
     return kept.dropDuplicates([id_col, digest]).select(docs.columns)

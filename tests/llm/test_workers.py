@@ -44,10 +44,25 @@ def test_near_pairs_lose_and_repeat_nothing(spark):
     got = [tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in simhash.near_pairs(df).collect()]
     want = {(a, b) for i, a in enumerate(marks) for b in marks[i + 1 :] if (a ^ b).bit_count() <= 4}
     assert len(got) == len(set(got)) and set(got) == want
+    fine = [tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in simhash.near_pairs(df, 8, 10, fine=True).collect()]
+    assert len(fine) == len(set(fine)) and set(fine) == {(a, b) for i, a in enumerate(marks) for b in marks[i + 1 :] if (a ^ b).bit_count() <= 8}
     with pytest.raises(ValueError):
         simhash.near_pairs(df, distance=7, groups=7)
 
 
+def test_resemblance(spark):
+    r, pairs = random.Random(8), []
+    for n in (0, 1, 40, 100, 600):
+        a = [r.getrandbits(64) for _ in range(n)]
+        pairs.append((a, [r.getrandbits(64) if r.random() < 0.1 else x for x in a]))
+    sketch = lambda x: np.unique(np.array(x, np.uint64))[: simhash.SKETCH].view(np.int64).tolist()
+    df = spark.createDataFrame([(k, sketch(a), sketch(b)) for k, (a, b) in enumerate(pairs)], "k int, a array<bigint>, b array<bigint>")
+    for row in df.select("k", simhash.resemblance(df.a, df.b).alias("j")).collect():
+        a, b = map(set, pairs[row.k])
+        want = len(a & b) / len(a | b) if a | b else 1.0
+        assert abs(row.j - want) <= (0 if len(a | b) <= simhash.SKETCH else 0.12)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(205, 203), (203, 201), (201, 205), (7, 7)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -67,7 +82,9 @@ def test_near_duplicates_and_keep_one(spark):
     near = (naive_fingerprint(texts[0][1]) ^ naive_fingerprint(texts[2][1])).bit_count() <= 4
     assert of[9].component_id == (3 if near else 9)
     kept = simhash.keep_one(df)
-    assert kept.columns == df.columns and kept.count() == len({(r.component_id) for r in rows})
+    close = simhash.near_duplicates(df.filter("doc_id in (3, 5, 9)"), shingle=5, distance=8, groups=10, similarity=0.8)
+    joined = close.select("component_id").distinct().count() == 1  # 9 shares 195 of 197 shingles with the others
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {None, 1, 7} | ({9} - ({9} if joined else set()))
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
