@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from kvspark.llm.base import checkpoint, fresh
-from kvspark.llm.words import LOWER, WORD
+from kvspark.llm.words import LOWER, WORD, mix
 
 SEED = 42
 _LOW = 0x5555555555555555
@@ -61,23 +61,29 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 SKETCH = 128
 
 
-def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = 4, out: str = "fingerprint", sketch: str | None = None) -> DataFrame:
+def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = 4, out: str = "fingerprint", sketch: str | None = None, repeats: int = 1) -> DataFrame:
     """Adds the fingerprint as a signed long; the text column is left out. Text by text, whatever its length.
 
-    ``sketch`` names a further column: the ``SKETCH`` smallest different shingle hashes.
+    ``sketch`` names a further column: the ``SKETCH`` smallest different shingle hashes. With ``repeats``
+    there are more fingerprints, ``out`` with 1, 2, … behind it, of the same hashes mixed anew.
     """
+    names = [out, *(f"{out}{k}" for k in range(1, repeats))]
     kept = [f for f in df.schema.fields if f.name != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [shingle_hashes(t.as_py(), shingle) for t in batch.column(batch.schema.get_field_index(text_col))]
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            columns.append(pa.array(np.fromiter(map(majority, hashes), np.uint64, len(hashes)).view(np.int64)))
+            for k in range(repeats):
+                again = (mix(h + np.uint64(k)) if k else h for h in hashes)
+                columns.append(pa.array(np.fromiter(map(majority, again), np.uint64, len(hashes)).view(np.int64)))
             if sketch:
                 columns.append(pa.array([np.unique(h)[:SKETCH].view(np.int64) for h in hashes], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    schema = type(df.schema)(list(kept)).add(out, "long")
+    schema = type(df.schema)(list(kept))
+    for name in names:
+        schema = schema.add(name, "long")
     if sketch:
         schema = schema.add(sketch, ArrayType(LongType()))
     return df.mapInArrow(run, schema)
@@ -117,10 +123,10 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.bit_count(odd) + F.bit_count(far) * 2
 
 
-def near_pairs(marks: DataFrame, distance: int = 4, groups: int = 7, fine: bool = False) -> DataFrame:
-    """Pairs (a, b), a < b, of different values of the column ``mark`` at ``distance`` or fewer differing bits, once each.
+def near_pairs(marks: DataFrame, distance: int = 4, groups: int = 7, fine: bool = False, node: str = "mark") -> DataFrame:
+    """Pairs (a, b), a < b, of different values of the column ``node`` whose ``mark`` differs in ``distance`` or fewer bits, once each.
 
-    ``marks`` holds each value once. No cell has a cap; the work in one grows with the square of the different fingerprints in it.
+    ``marks`` holds each node once; by default the marks are the nodes. No cell has a cap; the work in one grows with the square of the different fingerprints in it.
     With ``fine``, cells hold fingerprints that agree in a set's bits, not in its counts alone: fewer, and as sure to meet, which
     larger distances need.
     """
@@ -129,10 +135,11 @@ def near_pairs(marks: DataFrame, distance: int = 4, groups: int = 7, fine: bool
     masks = _masks(groups)
     sets = list(combinations(range(groups), groups - distance))
     unions = [_signed(sum(masks[g] for g in s)) for s in sets]
-    counted = marks.select("mark", segment_counts(F.col("mark")).alias("counts"))
+    named = [] if node == "mark" else [node]
+    counted = marks.select("mark", segment_counts(F.col("mark")).alias("counts"), *named)
     of = "mark" if fine else "counts"
     cells = counted.select(
-        F.posexplode(F.array(*[F.xxhash64(F.lit(k), F.col(of).bitwiseAND(F.lit(u))) for k, u in enumerate(unions)])).alias("set", "cell"), "mark", "counts"
+        F.posexplode(F.array(*[F.xxhash64(F.lit(k), F.col(of).bitwiseAND(F.lit(u))) for k, u in enumerate(unions)])).alias("set", "cell"), "mark", "counts", *named
     )
     left, right = cells.alias("l"), cells.alias("r")
     differs = F.col(f"l.{of}").bitwiseXOR(F.col(f"r.{of}"))
@@ -140,12 +147,12 @@ def near_pairs(marks: DataFrame, distance: int = 4, groups: int = 7, fine: bool
     for k in range(len(sets) - 1, -1, -1):  # the first set whose groups all agree
         first = F.when(differs.bitwiseAND(F.lit(unions[k])) == 0, F.lit(k)).otherwise(first)
     meets = (
-        (F.col("l.cell") == F.col("r.cell")) & (F.col("l.set") == F.col("r.set")) & (F.col("l.mark") < F.col("r.mark"))
+        (F.col("l.cell") == F.col("r.cell")) & (F.col("l.set") == F.col("r.set")) & (F.col(f"l.{node}") < F.col(f"r.{node}"))
         & (manhattan(F.col("l.counts"), F.col("r.counts")) <= distance)
         & (F.bit_count(F.col("l.mark").bitwiseXOR(F.col("r.mark"))) <= distance)
         & (F.col("l.set") == first)
     )
-    return left.join(right, meets).select(F.col("l.mark").alias("a"), F.col("r.mark").alias("b"))
+    return left.join(right, meets).select(F.col(f"l.{node}").alias("a"), F.col(f"r.{node}").alias("b"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -169,39 +176,52 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4, groups: int = 7, similarity: float | None = None) -> DataFrame:
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4, groups: int = 7, similarity: float | None = None, repeats: int = 1
+) -> DataFrame:
     """One row per input row: id, fingerprint (signed long), component_id (the smallest id that can be reached).
 
     Null and empty texts have fingerprint 0 and are linked like any other. Null ids get the component
-    of their fingerprint; a component without any id has a null one. With ``similarity``, different fingerprints
-    are linked only if the shingle sets of their first documents are as similar, judged by their sketches.
+    of their fingerprint; a component without any id has a null one. With ``similarity``, texts with different
+    fingerprints are linked only if their shingle sets are as similar, judged by the sketches of their first documents.
+    ``repeats`` independent fingerprints find more of the pairs that are similar but not close in one.
     """
     sketch = None if similarity is None else "sketch"
-    rows = checkpoint(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", shingle, "mark", sketch))
-    marks = rows.groupBy("mark").agg(F.min("id").alias("low"))
-    pairs = near_pairs(marks.select("mark"), distance, groups, fine=similarity is not None)
+    names = ["mark", *(f"mark{k}" for k in range(1, repeats))]
+    made = fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", shingle, "mark", sketch, repeats)
+    rows = checkpoint(made.withColumn("node", F.col("mark") if repeats == 1 else F.xxhash64(*names)))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("low"), *([F.min(n).alias(n) for n in names] if repeats > 1 else []))
+    if repeats == 1:
+        pairs = near_pairs(nodes.select(F.col("node").alias("mark")), distance, groups, fine=similarity is not None)
+    else:
+        nodes = checkpoint(nodes)
+        pairs = near_pairs(nodes.select("node", "mark"), distance, groups, similarity is not None, "node")
+        for name in names[1:]:
+            pairs = pairs.unionByName(near_pairs(nodes.select("node", F.col(name).alias("mark")), distance, groups, similarity is not None, "node"))
+        pairs = pairs.distinct()
     if similarity is not None:
-        first = rows.groupBy("mark").agg(F.min_by("sketch", "id").alias("sketch"))
-        a, b = (first.select(F.col("mark").alias(n), F.col("sketch").alias(f"of_{n}")) for n in "ab")
+        first = rows.groupBy("node").agg(F.min_by("sketch", "id").alias("sketch"))
+        a, b = (first.select(F.col("node").alias(n), F.col("sketch").alias(f"of_{n}")) for n in "ab")
         pairs = pairs.join(a, "a").join(b, "b").filter(resemblance(F.col("of_a"), F.col("of_b")) >= similarity).select("a", "b")
-    roots = components(pairs)
-    linked = marks.join(roots, marks["mark"] == roots["node"], "left").select("mark", "low", F.coalesce("root", "mark").alias("root"))
+    roots = components(pairs).withColumnRenamed("node", "member")
+    linked = nodes.join(roots, nodes["node"] == roots["member"], "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = linked.join(lows, "root").select("mark", "component_id")
-    return rows.join(named, "mark").select("id", F.col("mark").alias("fingerprint"), "component_id")
+    named = linked.join(lows, "root").select("node", "component_id")
+    return rows.join(named, "node").select("id", F.col("mark").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 8, shingle: int = 5, groups: int = 10, similarity: float | None = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 8, shingle: int = 5, groups: int = 10, similarity: float | None = 0.8, repeats: int = 4) -> DataFrame:
     """One row of each component, columns unchanged: that of the smallest id, then text hash.
 
-    By default near duplicates share four fifths of their five-word shingles. Of such pairs those at ``distance`` or fewer bits are found.
+    By default near duplicates share four fifths of their five-word shingles. Of such pairs those are found that differ in ``distance`` or
+    fewer bits of one of ``repeats`` fingerprints.
 
     Of rows that share both id and text one stays, whichever of them. Rows with a null id are told apart by their texts.
     """
     number, digest = fresh(docs, "number", "digest")
     marked = docs.withColumn(digest, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     key = F.struct(F.col(id_col).alias("id"), F.col(digest).alias("digest"))
-    found = near_duplicates(marked.select(key.alias("key"), text_col), "key", text_col, distance, shingle, groups, similarity)
+    found = near_duplicates(marked.select(key.alias("key"), text_col), "key", text_col, distance, shingle, groups, similarity, repeats)
     first = found.groupBy("component_id").agg(F.count("*").alias("n")).select(F.col("component_id.id").alias(number), F.col("component_id.digest").alias("first"))
     kept = marked.join(first, marked[id_col].eqNullSafe(first[number]) & (marked[digest] == first["first"]), "left_semi")
     return kept.dropDuplicates([id_col, digest]).select(docs.columns)
