@@ -34,24 +34,28 @@ def _ids() -> WordIds:
     return per_worker("importance words", WordIds)
 
 
-def bucket_counts(df: DataFrame, text_col: str, target_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features by bucket over all rows, and over those whose ``target_col`` is true: two vectors of ``BUCKETS`` numbers.
+def bucket_counts(df: DataFrame, targets: np.ndarray, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features by bucket over all rows, and over those whose id is in ``targets`` (sorted): two vectors of ``BUCKETS`` numbers.
 
     Each task counts its own rows; what is shuffled is a row per task and bucket, and the driver gets ``BUCKETS`` rows.
     """
+    sent = df.sparkSession.sparkContext.broadcast(targets)  # bounded by max_labelled
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target, ids = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), _ids()
+        raw, target, ids, wanted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), _ids(), sent.value
         for batch in batches:
-            for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
+            numbers = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(wanted, numbers), max(0, len(wanted) - 1))
+            chosen = (wanted[at] == numbers) & batch.column(0).is_valid().to_numpy(zero_copy_only=False) if len(wanted) else np.zeros(len(numbers), bool)
+            for text, is_target in zip(batch.column(1), chosen.tolist(), strict=True):
                 counts = np.bincount(features(text.as_py(), ids), minlength=BUCKETS)
                 raw += counts
-                if wanted.as_py():
+                if is_target:
                     target += counts
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
-    parts = df.select(text_col, target_col).mapInArrow(run, "bucket long, raw long, target long")
+    parts = df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "bucket long, raw long, target long")
     rows = parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     out = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for vector, name in zip(out, ("raw", "target"), strict=True):
@@ -111,17 +115,17 @@ def top_k(rows: DataFrame, key: str, k: int) -> DataFrame:
     return rows.filter(F.col(key) >= low)
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 7, max_labelled: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The sampled documents: doc_id, n_features, log_weight, gumbel_key, kept (true).
 
-    Target: labelled documents of quality 1 that are not toxic. k: ``share`` of all rows; by default the
-    target's share of the labelled documents. Without labels nothing tells target from raw, and all rows stay.
-    Repeated rows weigh and draw alike. Ties with the k-th row stay.
+    Target: labelled documents of quality 1 that are not toxic, at most ``max_labelled`` of them, those of the smallest id hashes;
+    the raw model is of all documents. k: ``share`` of all rows; by default the target's share of the labelled documents.
+    Without labels nothing tells target from raw, and all rows stay. Repeated rows weigh and draw alike. Ties with the k-th row stay.
     """
-    good = labels.select(F.col("doc_id").alias("id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")).dropna().groupBy("id").agg(F.min("good").alias("good"))
+    good = labels.select(F.col("doc_id").cast("long").alias("id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")).dropna().groupBy("id").agg(F.min("good").alias("good"))
     n, wanted = good.agg(F.count("*"), F.count_if("good")).first()
-    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(good, "id", "left")
-    raw, target = bucket_counts(marked.select("text", F.coalesce("good", F.lit(False)).alias("good")), "text", "good")
+    targets = np.sort(good.filter("good").orderBy(F.xxhash64("id"), "id").limit(max_labelled).toPandas()["id"].to_numpy(np.int64))
+    raw, target = bucket_counts(docs, targets, id_col, text_col)
     rows = checkpoint(weigh(docs, log_ratios(raw, target), id_col, text_col, seed))
     if share is None:
         share = wanted / n if n else 1.0
