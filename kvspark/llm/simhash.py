@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, IntegerType
 
 from kvspark.llm.base import checkpoint, fresh
 from kvspark.llm.words import LOWER, WORD, mix
@@ -64,7 +64,7 @@ SKETCH = 128
 def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = 4, out: str = "fingerprint", sketch: str | None = None, repeats: int = 1) -> DataFrame:
     """Adds the fingerprint as a signed long; the text column is left out. Text by text, whatever its length.
 
-    ``sketch`` names a further column: the ``SKETCH`` smallest different shingle hashes. With ``repeats``
+    ``sketch`` names a further column: the upper halves of the ``SKETCH`` smallest different shingle hashes. With ``repeats``
     there are more fingerprints, ``out`` with 1, 2, … behind it, of the same hashes mixed anew.
     """
     names = [out, *(f"{out}{k}" for k in range(1, repeats))]
@@ -78,21 +78,21 @@ def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = 4, out: s
                 again = (mix(h + np.uint64(k)) if k else h for h in hashes)
                 columns.append(pa.array(np.fromiter(map(majority, again), np.uint64, len(hashes)).view(np.int64)))
             if sketch:
-                columns.append(pa.array([np.unique(h)[:SKETCH].view(np.int64) for h in hashes], pa.list_(pa.int64())))
+                columns.append(pa.array([np.unique((h >> np.uint64(32)).astype(np.uint32))[:SKETCH].view(np.int32) for h in hashes], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     schema = type(df.schema)(list(kept))
     for name in names:
         schema = schema.add(name, "long")
     if sketch:
-        schema = schema.add(sketch, ArrayType(LongType()))
+        schema = schema.add(sketch, ArrayType(IntegerType()))
     return df.mapInArrow(run, schema)
 
 
 def resemblance(a: Column, b: Column) -> Column:
     """Jaccard similarity of two shingle sets from their sketches; exact if together they have ``SKETCH`` hashes at most. Two empty sets: 1."""
     # signed order is as good as any: sketches hold the smallest unsigned hashes, so order by the flipped sign bit
-    flip = lambda x: F.transform(x, lambda v: v.bitwiseXOR(F.lit(-(1 << 63))))
+    flip = lambda x: F.transform(x, lambda v: v.bitwiseXOR(F.lit(-(1 << 31))))
     both = F.slice(F.sort_array(F.array_union(flip(a), flip(b))), 1, SKETCH)
     common = F.size(F.array_intersect(F.array_intersect(both, flip(a)), flip(b)))
     return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(F.try_divide(common.cast("double"), F.size(both).cast("double")))
@@ -134,22 +134,25 @@ def near_pairs(marks: DataFrame, distance: int = 4, groups: int = 7, fine: bool
         raise ValueError("distance must be positive and below the number of groups, which is at most 32")
     masks = _masks(groups)
     sets = list(combinations(range(groups), groups - distance))
+    if len(sets) > 127:
+        raise ValueError(f"{len(sets)} sets of groups; at most 127 are supported")
     unions = [_signed(sum(masks[g] for g in s)) for s in sets]
-    named = [] if node == "mark" else [node]
-    counted = marks.select("mark", segment_counts(F.col("mark")).alias("counts"), *named)
-    of = "mark" if fine else "counts"
-    cells = counted.select(
-        F.posexplode(F.array(*[F.xxhash64(F.lit(k), F.col(of).bitwiseAND(F.lit(u))) for k, u in enumerate(unions)])).alias("set", "cell"), "mark", "counts", *named
-    )
+    of = (lambda mark: mark) if fine else segment_counts
+    at = of(F.col("mark"))
+    cells = marks.select(
+        F.posexplode(F.array(*[F.xxhash64(F.lit(k), at.bitwiseAND(F.lit(u))) for k, u in enumerate(unions)])).alias("set", "cell"),
+        *dict.fromkeys(["mark", node]),
+    ).withColumn("set", F.col("set").cast("byte"))
     left, right = cells.alias("l"), cells.alias("r")
-    differs = F.col(f"l.{of}").bitwiseXOR(F.col(f"r.{of}"))
+    a, b = F.col("l.mark"), F.col("r.mark")
+    differs = of(a).bitwiseXOR(of(b))
     first = F.lit(len(sets))
     for k in range(len(sets) - 1, -1, -1):  # the first set whose groups all agree
         first = F.when(differs.bitwiseAND(F.lit(unions[k])) == 0, F.lit(k)).otherwise(first)
     meets = (
         (F.col("l.cell") == F.col("r.cell")) & (F.col("l.set") == F.col("r.set")) & (F.col(f"l.{node}") < F.col(f"r.{node}"))
-        & (manhattan(F.col("l.counts"), F.col("r.counts")) <= distance)
-        & (F.bit_count(F.col("l.mark").bitwiseXOR(F.col("r.mark"))) <= distance)
+        & (manhattan(segment_counts(a), segment_counts(b)) <= distance)
+        & (F.bit_count(a.bitwiseXOR(b)) <= distance)
         & (F.col("l.set") == first)
     )
     return left.join(right, meets).select(F.col(f"l.{node}").alias("a"), F.col(f"r.{node}").alias("b"))
@@ -219,12 +222,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     Of rows that share both id and text one stays, whichever of them. Rows with a null id are told apart by their texts.
     """
     number, digest = fresh(docs, "number", "digest")
-    marked = docs.withColumn(digest, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    key = F.struct(F.col(id_col).alias("id"), F.col(digest).alias("digest"))
+    # both are never null, so the join and the removal of repeated rows share one shuffle of the texts
+    marked = docs.withColumns({number: F.xxhash64(F.col(id_col)), digest: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    key = F.struct(F.col(id_col).alias("id"), F.col(number).alias("number"), F.col(digest).alias("digest"))
     found = near_duplicates(marked.select(key.alias("key"), text_col), "key", text_col, distance, shingle, groups, similarity, repeats)
-    first = found.groupBy("component_id").agg(F.count("*").alias("n")).select(F.col("component_id.id").alias(number), F.col("component_id.digest").alias("first"))
-    kept = marked.join(first, marked[id_col].eqNullSafe(first[number]) & (marked[digest] == first["first"]), "left_semi")
-    return kept.dropDuplicates([id_col, digest]).select(docs.columns)
+    first = found.select(F.col("component_id.number").alias(number), F.col("component_id.digest").alias(digest)).distinct()
+    return marked.join(first, [number, digest], "left_semi").dropDuplicates([number, digest]).select(docs.columns)
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:

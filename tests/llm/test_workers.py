@@ -53,10 +53,10 @@ def test_near_pairs_lose_and_repeat_nothing(spark):
 def test_resemblance(spark):
     r, pairs = random.Random(8), []
     for n in (0, 1, 40, 100, 600):
-        a = [r.getrandbits(64) for _ in range(n)]
-        pairs.append((a, [r.getrandbits(64) if r.random() < 0.1 else x for x in a]))
-    sketch = lambda x: np.unique(np.array(x, np.uint64))[: simhash.SKETCH].view(np.int64).tolist()
-    df = spark.createDataFrame([(k, sketch(a), sketch(b)) for k, (a, b) in enumerate(pairs)], "k int, a array<bigint>, b array<bigint>")
+        a = [r.getrandbits(32) for _ in range(n)]
+        pairs.append((a, [r.getrandbits(32) if r.random() < 0.1 else x for x in a]))
+    sketch = lambda x: np.unique(np.array(x, np.uint32))[: simhash.SKETCH].view(np.int32).tolist()
+    df = spark.createDataFrame([(k, sketch(a), sketch(b)) for k, (a, b) in enumerate(pairs)], "k int, a array<int>, b array<int>")
     for row in df.select("k", simhash.resemblance(df.a, df.b).alias("j")).collect():
         a, b = map(set, pairs[row.k])
         want = len(a & b) / len(a | b) if a | b else 1.0
