@@ -143,6 +143,13 @@ def snapshot_diff(log: DataFrame, before: int, after: int, shape: Shape = SHAPE)
     return rows.filter(~F.col("old_seq").eqNullSafe(F.col("new_seq")))
 
 
+def number_rows(df: DataFrame, *order: Column, name: str = "pos") -> DataFrame:
+    """Adds each row's place in the order, from 1. A range sort and the sizes of its partitions: no task gets all rows."""
+    counted = df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
+    return df.sparkSession.createDataFrame(counted, schema)
+
+
 def changes_since(log: DataFrame, seq: int, shape: Shape = SHAPE) -> DataFrame:
     """The versions written after ``seq``."""
     return log.filter(F.col(shape.seq) > seq)

@@ -62,7 +62,7 @@ def _live(df: DataFrame) -> DataFrame:
 
 
 def _pos(df: DataFrame, *order) -> DataFrame:
-    """Ranks a result that a limit or a key range has made small."""
+    """Ranks a result that a limit has made small."""
     return df.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
@@ -100,12 +100,12 @@ def kv_multi_get(spark, sf_dir):
 
 @query("kv_range_scan", f"{_newest()} SELECT {LIVE}, row_number() OVER (ORDER BY key) AS pos FROM newest WHERE vtype = 1 AND key >= '{LOW}' AND key < '{HIGH}'")
 def kv_range_scan(spark, sf_dir):
-    return _pos(_live(resolve.range_scan(events_log(spark, sf_dir), LOW, HIGH)), "key")
+    return resolve.number_rows(_live(resolve.range_scan(events_log(spark, sf_dir), LOW, HIGH)), F.col("key"))
 
 
 @query("kv_reverse_range_scan", f"{_newest()} SELECT {LIVE}, row_number() OVER (ORDER BY key DESC) AS pos FROM newest WHERE vtype = 1 AND key >= '{LOW}' AND key < '{HIGH}'")
 def kv_reverse_range_scan(spark, sf_dir):
-    return _pos(_live(resolve.range_scan(events_log(spark, sf_dir), LOW, HIGH, reverse=True)), F.desc("key"))
+    return resolve.number_rows(_live(resolve.range_scan(events_log(spark, sf_dir), LOW, HIGH, reverse=True)), F.desc("key"))
 
 
 @query("kv_seek_limit", f"{_newest()} SELECT {LIVE}, row_number() OVER (ORDER BY key) AS pos FROM newest WHERE vtype = 1 AND key >= '{LOW}' ORDER BY key LIMIT 10")
@@ -287,7 +287,7 @@ def kv_lineitem_versions(spark, sf_dir):
 def kv_reverse_comparator(spark, sf_dir):
     log = events_log(spark, sf_dir).select(REVERSE.column(F.col("key").cast("binary")).alias("sort_key"), "key", "seq", "vtype")
     live = resolve.visible(log, shape=Shape(keys=("sort_key",)))
-    return _pos(live.select("key", "seq", "sort_key"), "sort_key").drop("sort_key")
+    return resolve.number_rows(live.select("key", "seq", "sort_key"), F.col("sort_key")).drop("sort_key")
 
 
 @query("kv_conversation_range", "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id BETWEEN 3 AND 40")
