@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +25,11 @@ from pyspark.sql import functions as F
 from kvspark.llm.words import per_worker
 
 VARIANTS = 4
-CACHE = 150_000
+#: Encoded units that a worker keeps, of all variants together.
+CACHE = 1_000_000
+#: Longest unit, in characters, whose agenda is a plain list of ranks; longer ones have a heap.
+SHORT = 48
+_MASK, _MIX = (1 << 64) - 1, 0x9E3779B97F4A7C15
 UNIT = re.compile(r" *[^ \n]+|\n| +")
 
 
@@ -39,31 +44,70 @@ class Pieces:
         self.strings = [library.id_to_piece(i) for i in range(n)]
         self.byte_ids = [library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.bytes_of = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
-        self.scores = {self.strings[i]: (library.get_score(i), i) for i in range(n) if not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i))}
+        scores = {self.strings[i]: (library.get_score(i), i) for i in range(n) if not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i))}
+        places = {score: k for k, score in enumerate(sorted({-s for s, _ in scores.values()}))}
+        self.ids = {piece: i for piece, (_, i) in scores.items()}
+        self.ranks = {piece: places[-score] for piece, (score, _) in scores.items()}  # 0 is merged first
         self.plain = [b"" if library.is_control(i) else self.bytes_of.get(i, self.strings[i].replace("\u2581", " ").encode()) for i in range(n)]
 
     def merge(self, unit: str, dropout: float = 0.0, key: int = 0) -> list[int]:
-        """Ids of one unit, spaces already written as U+2581."""
+        """Ids of one unit, spaces already written as U+2581. Of merges of one rank the leftmost comes first."""
+        limit = int(dropout * 2**64)
+        keyed = xxhash.xxh64_intdigest(unit, key) if limit else 0
+        parts = self._by_list(unit, limit, keyed) if len(unit) <= SHORT else self._by_heap(unit, limit, keyed)
+        out: list[int] = []
+        for part in parts:
+            found = self.ids.get(part)
+            if found is None:
+                out += [self.byte_ids[b] for b in part.encode()]
+            else:
+                out.append(found)
+        return out
+
+    def _skipped(self, keyed: int, place: int, joined: str, limit: int) -> bool:
+        return ((keyed ^ (place << 20 | self.ids[joined])) * _MIX ^ keyed >> 7) * _MIX & _MASK < limit
+
+    def _by_list(self, unit: str, limit: int, keyed: int) -> list[str]:
+        ranks, never = self.ranks, 1 << 60
+        parts, starts = list(unit), list(range(len(unit)))
+        agenda = [ranks.get(a + b, never) for a, b in zip(unit, unit[1:], strict=False)]
+        while agenda:
+            best = min(agenda)
+            if best == never:
+                break
+            k = agenda.index(best)
+            joined = parts[k] + parts[k + 1]
+            if limit and self._skipped(keyed, starts[k], joined, limit):
+                agenda[k] = never
+                continue
+            parts[k] = joined
+            del parts[k + 1], starts[k + 1], agenda[k]
+            if k:
+                agenda[k - 1] = ranks.get(parts[k - 1] + joined, never)
+            if k < len(agenda):
+                agenda[k] = ranks.get(joined + parts[k + 1], never)
+        return parts
+
+    def _by_heap(self, unit: str, limit: int, keyed: int) -> list[str]:
         parts: list[str | None] = list(unit)
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda: list[tuple[float, int, int, str]] = []
-        scores, limit = self.scores, int(dropout * 2**64)
+        agenda: list[tuple[int, int, int, str]] = []
 
         def offer(a: int, b: int) -> None:
             if a >= 0 and b < n:
                 joined = parts[a] + parts[b]
-                found = scores.get(joined)
-                if found is not None:
-                    heapq.heappush(agenda, (-found[0], a, b, joined))
+                rank = self.ranks.get(joined)
+                if rank is not None:
+                    heapq.heappush(agenda, (rank, a, b, joined))
 
         for k in range(n - 1):
             offer(k, k + 1)
         while agenda:
             _, a, b, joined = heapq.heappop(agenda)
-            if parts[a] is None or b >= n or parts[b] is None or after[a] != b or parts[a] + parts[b] != joined:
+            if parts[a] is None or parts[b] is None or after[a] != b or len(parts[a]) + len(parts[b]) != len(joined):
                 continue
-            if limit and xxhash.xxh64_intdigest(f"{a}\0{joined}\0{unit}", key) < limit:
+            if limit and self._skipped(keyed, a, joined, limit):
                 continue
             parts[a], parts[b] = joined, None
             after[a] = after[b]
@@ -71,12 +115,7 @@ class Pieces:
                 before[after[b]] = a
             offer(before[a], a)
             offer(a, after[a])
-        out: list[int] = []
-        for part in parts:
-            if part is not None:
-                found = scores.get(part)
-                out += [found[1]] if found else [self.byte_ids[b] for b in part.encode()]
-        return out
+        return [p for p in parts if p is not None]
 
     def decode(self, ids) -> str:
         """The text of the ids; the space that encoding put in front is taken away."""
@@ -85,22 +124,32 @@ class Pieces:
 
 
 class Variant(dict):
-    """Unit to the bytes of its ids (two each), for one variant; bounded."""
+    """Unit to the bytes of its ids (four each), for one variant. Two generations: what is used again while it is old stays."""
 
     def __init__(self, pieces: Pieces, dropout: float, key: int):
         super().__init__()
-        self.pieces, self.dropout, self.key = pieces, dropout, key
+        self.pieces, self.dropout, self.key, self.old = pieces, dropout, key, {}
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= CACHE // VARIANTS:
+        if len(self) >= CACHE // VARIANTS // 2:
+            self.old = dict(self)
             self.clear()
-        ids: list[int] = []
-        for part in re.split("(\u2581)", unit) if self.dropout else [unit]:
-            literal = self.dropout and part == "\u2581"  # the mark itself would decode as a space; its bytes do not
-            ids += [self.pieces.byte_ids[b] for b in part.encode()] if literal else self.pieces.merge(part.replace(" ", "\u2581"), self.dropout, self.key)
-        self[unit] = packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        packed = self.old.get(unit)
+        if packed is None:
+            packed = self.encode(unit)
+        self[unit] = packed
         return packed
 
+    def encode(self, unit: str) -> bytes:
+        model, text = self.pieces, unit.replace(" ", "\u2581")
+        if not self.dropout or "\u2581" not in unit:
+            ids = model.merge(text, self.dropout, self.key)
+        else:  # the mark itself would decode as a space; its bytes do not
+            ids = []
+            for part in re.split("(\u2581)", unit):
+                ids += [model.byte_ids[b] for b in part.encode()] if part == "\u2581" else model.merge(part.replace(" ", "\u2581"), self.dropout, self.key)
+        return struct.pack(f"<{len(ids)}i", *ids)
+
 
 class Encoder:
     def __init__(self, path: str, dropout: float, seed: int):

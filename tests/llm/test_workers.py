@@ -109,6 +109,15 @@ def test_pieces_are_the_librarys_without_dropout():
         assert np.frombuffer(encoder.encode(text, 0), np.int32).tolist() == library.encode(text), text
 
 
+def test_both_agendas_agree():
+    model, r = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model")), random.Random(6)
+    for n in (1, 2, 5, 20, 47):
+        for _ in range(40):
+            unit = "\u2581" + "".join(r.choice("etaoinshrdlu\u2581é") for _ in range(n))
+            for limit in (0, 1 << 62, 1 << 63):
+                assert model._by_list(unit, limit, 12345 + n) == model._by_heap(unit, limit, 12345 + n)
+
+
 def test_pieces_with_dropout(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     texts = [*EDGE, "international organisations " * 20]
