@@ -130,30 +130,30 @@ def near_pairs(marks: DataFrame, distance: int = 4, groups: int = 7, fine: bool
     With ``fine``, cells hold fingerprints that agree in a set's bits, not in its counts alone: fewer, and as sure to meet, which
     larger distances need.
     """
-    if not 0 < distance < groups <= 32:
-        raise ValueError("distance must be positive and below the number of groups, which is at most 32")
+    if not 0 < distance < groups <= 30:
+        raise ValueError("distance must be positive and below the number of groups, which is at most 30")
     masks = _masks(groups)
-    sets = list(combinations(range(groups), groups - distance))
-    if len(sets) > 127:
-        raise ValueError(f"{len(sets)} sets of groups; at most 127 are supported")
-    unions = [_signed(sum(masks[g] for g in s)) for s in sets]
+    sets = [sum(1 << g for g in s) for s in combinations(range(groups), groups - distance)]
+    unions = [_signed(sum(m for g, m in enumerate(masks) if s >> g & 1)) for s in sets]
     of = (lambda mark: mark) if fine else segment_counts
     at = of(F.col("mark"))
     cells = marks.select(
-        F.posexplode(F.array(*[F.xxhash64(F.lit(k), at.bitwiseAND(F.lit(u))) for k, u in enumerate(unions)])).alias("set", "cell"),
+        F.explode(F.array(*[F.struct(F.lit(s | ((1 << s.bit_length()) - 1) << 32).alias("set"), F.xxhash64(F.lit(s), at.bitwiseAND(F.lit(u))).alias("cell")) for s, u in zip(sets, unions, strict=True)])).alias("c"),
         *dict.fromkeys(["mark", node]),
-    ).withColumn("set", F.col("set").cast("byte"))
+    ).select("c.set", "c.cell", *dict.fromkeys(["mark", node]))
     left, right = cells.alias("l"), cells.alias("r")
     a, b = F.col("l.mark"), F.col("r.mark")
     differs = of(a).bitwiseXOR(of(b))
-    first = F.lit(len(sets))
-    for k in range(len(sets) - 1, -1, -1):  # the first set whose groups all agree
-        first = F.when(differs.bitwiseAND(F.lit(unions[k])) == 0, F.lit(k)).otherwise(first)
+    agree = F.lit(0)
+    for g, mask in enumerate(masks):
+        agree = agree.bitwiseOR(F.when(differs.bitwiseAND(F.lit(_signed(mask))) == 0, F.lit(1 << g)).otherwise(F.lit(0)))
+    # a set is the first that a pair shares if of the groups up to its highest only its own agree; a short test keeps the join's code small
+    own, upto = F.col("l.set").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned("l.set", 32)
     meets = (
         (F.col("l.cell") == F.col("r.cell")) & (F.col("l.set") == F.col("r.set")) & (F.col(f"l.{node}") < F.col(f"r.{node}"))
         & (manhattan(segment_counts(a), segment_counts(b)) <= distance)
         & (F.bit_count(a.bitwiseXOR(b)) <= distance)
-        & (F.col("l.set") == first)
+        & (agree.cast("long").bitwiseAND(upto) == own)
     )
     return left.join(right, meets).select(F.col(f"l.{node}").alias("a"), F.col(f"r.{node}").alias("b"))
 
