@@ -30,8 +30,9 @@ from kvspark.llm.base import shared_folder
 
 LENGTH, GRAM = 400, 64
 MAX_GROUP = 30_000
-PIECE = 1 << 19
-RUN_BYTES = 24 << 20
+FILTER_BITS = 27
+PIECE = 1 << 18
+RUN_BYTES = 8 << 20
 _STEP = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_STEP, -1, 1 << 64)
 _TABLE = np.array([xxhash.xxh64_intdigest(bytes([b]), 11) for b in range(256)], np.uint64)
@@ -218,16 +219,44 @@ def _bytes(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
 def _anchor_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            found = [anchors(data, length, gram) for data in _bytes(batch, "text")]
-            sizes = [len(f[0]) for f in found]
-            columns = [np.repeat(k, sizes) for k in keys] + [np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["k1", "k2", "h", "place", "lo", "hi"])
+            found = [anchors(data, length, gram)[0] for data in _bytes(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["h"])
 
     return run
 
 
-def _run_rows(length: int, parts: int):
+def _bit_table(hashes: DataFrame) -> np.ndarray:
+    """One bit for each value of the low ``FILTER_BITS`` bits of the column ``h``, packed. Built in pages by Spark; the driver gets no more than the table."""
+    slot = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1  # bitmap functions count from 1
+    pages = hashes.groupBy(F.bitmap_bucket_number(slot).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for row in pages.toLocalIterator():
+        part = np.frombuffer(bytes(row["bits"]), np.uint8)
+        out[(row["page"] - 1) * len(part) : row["page"] * len(part)] = part
+    return out
+
+
+def _in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes & ((1 << FILTER_BITS) - 1)
+    return (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def _chosen(batch: pa.RecordBatch, length: int, gram: int, twice, large, want_large: bool) -> Iterator[tuple[bytes, bytes, int, int, int, int]]:
+    """(owner, text, hash, place, lo, hi) of the anchors that are not unique, of the large groups or of the others."""
+    for k1, k2, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes(batch, "text"), strict=True):
+        if len(data) < length:
+            continue
+        found = anchors(data, length, gram)
+        keep = _in_table(twice, found[0])
+        if large is not None:
+            keep &= _in_table(large, found[0]) == want_large
+        if keep.any():
+            owner, text = k1.to_bytes(8, "big", signed=True) + k2.to_bytes(8, "big", signed=True), data.tobytes()
+            for h, place, lo, hi in zip(*(f[keep].tolist() for f in found), strict=True):
+                yield owner, text, h, place, lo, hi
+
+
+def _run_rows(length: int, gram: int, parts: int, twice, large):
     """Front-coded sorted runs of the suffixes at a task's anchors, one row for a run and range of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,14 +270,12 @@ def _run_rows(length: int, parts: int):
             return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int64()), pa.array(runs, pa.binary())], ["range", "run"])
 
         for batch in batches:
-            for k1, k2, data, list_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes(batch, "text"), batch.column(3), strict=True):
-                data, owner = data.tobytes(), k1.to_bytes(8, "big", signed=True) + k2.to_bytes(8, "big", signed=True)
-                for a in list_.as_py():
-                    h, place, lo, hi = a["h"] % (1 << 64), a["place"], a["lo"], a["hi"]
-                    key = h.to_bytes(8, "big") + data[place : place + length - lo]
-                    payload = owner + place.to_bytes(8, "big") + lo.to_bytes(4, "big") + hi.to_bytes(4, "big") + data[place - hi : place]
-                    waiting.setdefault(h * parts >> 64, []).append((key, payload))
-                    size += len(key) + len(payload)
+            for owner, text, h, place, lo, hi in _chosen(batch, length, gram, twice.value, large and large.value, False):
+                h %= 1 << 64
+                key = h.to_bytes(8, "big") + text[place : place + length - lo]
+                payload = owner + place.to_bytes(8, "big") + lo.to_bytes(4, "big") + hi.to_bytes(4, "big") + text[place - hi : place]
+                waiting.setdefault(h * parts >> 64, []).append((key, payload))
+                size += len(key) + len(payload)
                 if size >= RUN_BYTES:
                     yield flush()
                     size = 0
@@ -284,20 +311,23 @@ def _merged_spans(length: int):
     return run
 
 
-def _window_rows(length: int):
+def _window_rows(length: int, gram: int, twice, large):
     """Each window of the anchors in large groups, by its hash."""
+    signed = lambda b: int.from_bytes(b, "big", signed=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[int, int, int, int, int]] = []
-            for k1, k2, data, list_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes(batch, "text"), batch.column(3), strict=True):
-                data = data.tobytes()
-                for a in list_.as_py():
-                    for start in range(a["place"] - a["hi"], a["place"] - a["lo"] + 1):
-                        whole = xxhash.xxh3_128_digest(data[start : start + length])
-                        rows.append((int.from_bytes(whole[:8], "big", signed=True), int.from_bytes(whole[8:], "big", signed=True), k1, k2, start))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["w1", "w2", "k1", "k2", "start"])
-
+            rows: list[tuple[int, ...]] = []
+            for owner, text, _, place, lo, hi in _chosen(batch, length, gram, twice.value, large.value, True):
+                for start in range(place - hi, place - lo + 1):
+                    whole = xxhash.xxh3_128_digest(text[start : start + length])
+                    rows.append((signed(whole[:8]), signed(whole[8:]), signed(owner[:8]), signed(owner[8:]), start))
+                if len(rows) >= 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names)
+                    rows = []
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names)
+
+    names = ["w1", "w2", "k1", "k2", "start"]
     return run
 
 
@@ -334,23 +364,26 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     are ``length`` or more. Texts that are equal are worked on once. Nothing is capped.
     """
     spark = df.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    folder = f"{shared_folder(spark)}/suffixes-{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    name = f"suffixes_{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{name}"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"), text.alias("text"), F.col(id_col).alias("doc_id"))
-    places = "k1 long, k2 long, h long, place long, lo long, hi long"
-    rows.select("k1", "k2", "text").mapInArrow(_anchor_rows(length, gram), places).write.parquet(f"{folder}/anchors")
-    found = spark.read.parquet(f"{folder}/anchors")
-    spot = F.xxhash64("k1", "k2", "place")
-    twice = found.groupBy("h").agg(F.count("*").alias("n"), F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a != b").select("h", (F.col("n") > max_group).alias("large"))
-    spots = found.join(twice, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("large", "h", "place", "lo", "hi")).alias("spots"))
-    texts = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    at = texts.join(spots, ["k1", "k2"]).select("k1", "k2", "text", "spots")
-    of = lambda large: at.select("k1", "k2", "text", F.filter("spots", lambda s: s["large"] == large).alias("spots")).filter(F.size("spots") > 0)
-    runs = of(False).mapInArrow(_run_rows(length, parts), "range long, run binary")
+    # the only shuffle of texts; written in buckets, so that the spans can be joined to them without another
+    once = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    once.write.bucketBy(parts, "k1", "k2").option("path", f"{folder}/texts").option("compression", "zstd").saveAsTable(name)
+    texts = spark.table(name)
+    counts = texts.select("text").mapInArrow(_anchor_rows(length, gram), "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    counts.write.parquet(f"{folder}/twice")
+    twice = spark.read.parquet(f"{folder}/twice")
+    hot = twice.filter(F.col("n") > max_group)
+    table = spark.sparkContext.broadcast(_bit_table(twice))  # 2 ** FILTER_BITS bits
+    large = None if hot.isEmpty() else spark.sparkContext.broadcast(_bit_table(hot))
+    named = texts.select("k1", "k2", "text")
+    runs = named.mapInArrow(_run_rows(length, gram, 2 * parts, table, large), "range long, run binary")
     spans = runs.groupBy("range").applyInArrow(_merged_spans(length), "k1 long, k2 long, start long, end long")
-    if not twice.filter("large").isEmpty():
-        of(True).mapInArrow(_window_rows(length), "w1 long, w2 long, k1 long, k2 long, start long").write.parquet(f"{folder}/windows")
+    if large is not None:
+        named.mapInArrow(_window_rows(length, gram, table, large), "w1 long, w2 long, k1 long, k2 long, start long").write.parquet(f"{folder}/windows")
         windows = spark.read.parquet(f"{folder}/windows")
         again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
         spans = spans.unionByName(windows.join(again, ["w1", "w2"]).select("k1", "k2", "start", (F.col("start") + length).alias("end")))
