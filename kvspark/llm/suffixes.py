@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvspark.llm.base import shared_folder
+from kvspark.llm.words import mix
 
 LENGTH, GRAM = 400, 64
 MAX_GROUP = 30_000
@@ -78,7 +79,8 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> list[np
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         last = np.concatenate([first[1:], [len(at)]]) - 1
         place = at[first]
-        found.append([hashes[place].view(np.int64), place + begin, place - last, place - first])
+        # smallest hashes crowd at the low end; mixed once more they are even, and so are the ranges they are dealt by
+        found.append([mix(hashes[place]).view(np.int64), place + begin, place - last, place - first])
     return [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4)]
 
 

@@ -66,3 +66,10 @@ def test_merge_gives_order_and_shared_prefixes():
     for n, key, payload in merged:
         assert n == suffixes.shared(before, key, 0) and keys[int(payload)] == key
         before = key
+
+
+def test_hashes_of_anchors_are_spread():
+    r = random.Random(5)
+    data = np.frombuffer(bytes(r.randrange(256) for _ in range(200_000)), np.uint8)
+    ranges = suffixes.anchors(data)[0].view(np.uint64) >> np.uint64(61)
+    assert np.bincount(ranges.astype(int), minlength=8).max() < 2 * len(ranges) / 8
