@@ -2,7 +2,7 @@
 
 Merges never cross the units between spaces, so texts are encoded unit by unit. An agenda
 holds the merges that are possible, best first; one that a keyed hash picks is skipped.
-The key is the seed, the unit, its variant, and the place and piece of the merge. Each occurrence takes one of
+The key is the seed, the unit, its variant, and the piece that the merge would make. Each occurrence takes one of
 ``VARIANTS`` variants by the document's own key and its place, so equal units
 are cut in several ways, and a worker encodes each unit and variant once. Without
 dropout the result is the library's, which reads a literal U+2581 as a space; with it,
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from kvspark.llm.words import per_worker
 
-VARIANTS = 4
+VARIANTS = 3
 #: Encoded units that a worker keeps, of all variants together.
 CACHE = 1_000_000
 #: Longest unit, in characters, whose agenda is a plain list of ranks; longer ones have a heap.
@@ -64,12 +64,12 @@ class Pieces:
                 out.append(found)
         return out
 
-    def _skipped(self, keyed: int, place: int, joined: str, limit: int) -> bool:
-        return ((keyed ^ (place << 20 | self.ids[joined])) * _MIX ^ keyed >> 7) * _MIX & _MASK < limit
+    def _skipped(self, keyed: int, joined: str, limit: int) -> bool:
+        return (keyed ^ self.ids[joined]) * _MIX & _MASK < limit
 
     def _by_list(self, unit: str, limit: int, keyed: int) -> list[str]:
-        ranks, never = self.ranks, 1 << 60
-        parts, starts = list(unit), list(range(len(unit)))
+        ranks, ids, never = self.ranks, self.ids, 1 << 60
+        parts = list(unit)
         agenda = [ranks.get(a + b, never) for a, b in zip(unit, unit[1:], strict=False)]
         while agenda:
             best = min(agenda)
@@ -77,11 +77,11 @@ class Pieces:
                 break
             k = agenda.index(best)
             joined = parts[k] + parts[k + 1]
-            if limit and self._skipped(keyed, starts[k], joined, limit):
+            if limit and (keyed ^ ids[joined]) * _MIX & _MASK < limit:
                 agenda[k] = never
                 continue
             parts[k] = joined
-            del parts[k + 1], starts[k + 1], agenda[k]
+            del parts[k + 1], agenda[k]
             if k:
                 agenda[k - 1] = ranks.get(parts[k - 1] + joined, never)
             if k < len(agenda):
@@ -107,7 +107,7 @@ class Pieces:
             _, a, b, joined = heapq.heappop(agenda)
             if parts[a] is None or parts[b] is None or after[a] != b or len(parts[a]) + len(parts[b]) != len(joined):
                 continue
-            if limit and self._skipped(keyed, a, joined, limit):
+            if limit and self._skipped(keyed, joined, limit):
                 continue
             parts[a], parts[b] = joined, None
             after[a] = after[b]
