@@ -2,9 +2,10 @@
 
 Merges never cross the units between spaces, so texts are encoded unit by unit. An agenda
 holds the merges that are possible, best first; one that a keyed hash picks is skipped.
-The key is the seed, the unit, its variant, and the piece that the merge would make. Each occurrence takes one of
-``VARIANTS`` variants by the document's own key and its place, so equal units
-are cut in several ways, and a worker encodes each unit and variant once. Without
+The key is the seed, the document, the place of the unit in it, and the candidate: where in
+the unit it starts, where its two parts meet, and the piece that it would make. So every candidate of every
+occurrence has a draw of its own. A worker keeps what follows from draws, not draws: the candidates that
+a unit meets if none is skipped, and from there what follows if a given one is. Draws are made for many units at a time. Without
 dropout the result is the library's, which reads a literal U+2581 as a space; with it,
 that mark is spelled in bytes, so every text comes back as it was.
 """
@@ -15,21 +16,25 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvspark.llm.words import per_worker
+from kvspark.llm.words import mix, per_worker
 
-VARIANTS = 3
-#: Encoded units that a worker keeps, of all variants together.
-CACHE = 1_000_000
-#: Longest unit, in characters, whose agenda is a plain list of ranks; longer ones have a heap.
+#: Outcomes (a unit and what is skipped in it) that a worker keeps.
+CACHE = 600_000
+#: Units whose draws are made together, and characters of text that are taken together.
+TOGETHER, CHARS = 1 << 16, 1 << 20
+#: Longest unit, in characters, whose agenda is a plain list of ranks and whose outcomes are kept; longer ones have a heap.
 SHORT = 48
-_MASK, _MIX = (1 << 64) - 1, 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
+_START, _SPLIT, _PIECE, _UNIT = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93
 UNIT = re.compile(r" *[^ \n]+|\n| +")
 
 
@@ -50,11 +55,15 @@ class Pieces:
         self.ranks = {piece: places[-score] for piece, (score, _) in scores.items()}  # 0 is merged first
         self.plain = [b"" if library.is_control(i) else self.bytes_of.get(i, self.strings[i].replace("\u2581", " ").encode()) for i in range(n)]
 
-    def merge(self, unit: str, dropout: float = 0.0, key: int = 0) -> list[int]:
-        """Ids of one unit, spaces already written as U+2581. Of merges of one rank the leftmost comes first."""
-        limit = int(dropout * 2**64)
-        keyed = xxhash.xxh64_intdigest(unit, key) if limit else 0
-        parts = self._by_list(unit, limit, keyed) if len(unit) <= SHORT else self._by_heap(unit, limit, keyed)
+    def merge(self, unit: str, dropout: float = 0.0, key: int = 0, at: int = 0) -> list[int]:
+        """Ids of one unit, spaces already written as U+2581. Of merges of one rank the leftmost comes first.
+
+        ``key`` is that of the unit's occurrence, ``at`` the place of ``unit`` in it.
+        """
+        limit, keyed = int(dropout * 2**64), (key + at * _START) & _MASK
+        return self.ids_of(self._by_list(unit, limit, keyed) if len(unit) <= SHORT else self._by_heap(unit, limit, keyed))
+
+    def ids_of(self, parts: list[str]) -> list[int]:
         out: list[int] = []
         for part in parts:
             found = self.ids.get(part)
@@ -64,12 +73,16 @@ class Pieces:
                 out.append(found)
         return out
 
-    def _skipped(self, keyed: int, joined: str, limit: int) -> bool:
-        return (keyed ^ self.ids[joined]) * _MIX & _MASK < limit
+    def _skipped(self, keyed: int, start: int, split: int, joined: str, limit: int) -> bool:
+        """The draw of a candidate; ``split`` is the length of its left part."""
+        x = (keyed + start * _START + split * _SPLIT + self.ids[joined] * _PIECE) & _MASK
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _MASK  # the same as words.mix
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & _MASK
+        return x ^ x >> 31 < limit
 
     def _by_list(self, unit: str, limit: int, keyed: int) -> list[str]:
-        ranks, ids, never = self.ranks, self.ids, 1 << 60
-        parts = list(unit)
+        ranks, never = self.ranks, 1 << 60
+        parts, starts = list(unit), list(range(len(unit)))
         agenda = [ranks.get(a + b, never) for a, b in zip(unit, unit[1:], strict=False)]
         while agenda:
             best = min(agenda)
@@ -77,17 +90,42 @@ class Pieces:
                 break
             k = agenda.index(best)
             joined = parts[k] + parts[k + 1]
-            if limit and (keyed ^ ids[joined]) * _MIX & _MASK < limit:
+            if limit and self._skipped(keyed, starts[k], len(parts[k]), joined, limit):
                 agenda[k] = never
                 continue
             parts[k] = joined
-            del parts[k + 1], agenda[k]
+            del parts[k + 1], starts[k + 1], agenda[k]
             if k:
                 agenda[k - 1] = ranks.get(parts[k - 1] + joined, never)
             if k < len(agenda):
                 agenda[k] = ranks.get(joined + parts[k + 1], never)
         return parts
 
+    def follow(self, unit: str, skipped: tuple[int, ...]) -> tuple[list[int], list[str]]:
+        """The codes of all candidates that a unit meets if exactly those in ``skipped`` are skipped, in their order, and the parts that remain."""
+        ranks, ids, never = self.ranks, self.ids, 1 << 60
+        parts, starts, codes = list(unit), list(range(len(unit))), []
+        agenda = [ranks.get(a + b, never) for a, b in zip(unit, unit[1:], strict=False)]
+        while agenda:
+            best = min(agenda)
+            if best == never:
+                break
+            k = agenda.index(best)
+            left = parts[k]
+            joined = left + parts[k + 1]
+            code = (starts[k] * _START + len(left) * _SPLIT + ids[joined] * _PIECE) & _MASK
+            codes.append(code)
+            if code in skipped:
+                agenda[k] = never
+                continue
+            parts[k] = joined
+            del parts[k + 1], starts[k + 1], agenda[k]
+            if k:
+                agenda[k - 1] = ranks.get(parts[k - 1] + joined, never)
+            if k < len(agenda):
+                agenda[k] = ranks.get(joined + parts[k + 1], never)
+        return codes, parts
+
     def _by_heap(self, unit: str, limit: int, keyed: int) -> list[str]:
         parts: list[str | None] = list(unit)
         n = len(parts)
@@ -107,7 +145,7 @@ class Pieces:
             _, a, b, joined = heapq.heappop(agenda)
             if parts[a] is None or parts[b] is None or after[a] != b or len(parts[a]) + len(parts[b]) != len(joined):
                 continue
-            if limit and self._skipped(keyed, joined, limit):
+            if limit and self._skipped(keyed, a, len(parts[a]), joined, limit):
                 continue
             parts[a], parts[b] = joined, None
             after[a] = after[b]
@@ -123,51 +161,137 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-class Variant(dict):
-    """Unit to the bytes of its ids (four each), for one variant. Two generations: what is used again while it is old stays."""
+class Roots(dict):
+    """Unit to the number of its outcome without skips."""
 
-    def __init__(self, pieces: Pieces, dropout: float, key: int):
+    def __init__(self, tree: Outcomes):
         super().__init__()
-        self.pieces, self.dropout, self.key, self.old = pieces, dropout, key, {}
+        self.tree = tree
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = number = self.tree.add(unit, (), 0)
+        return number
+
+
+class Children(dict):
+    """``outcome << 8 | k`` to the outcome if, of the candidates that follow, the k-th is skipped and no other after it."""
+
+    def __init__(self, tree: Outcomes):
+        super().__init__()
+        self.tree = tree
+
+    def __missing__(self, at: int) -> int:
+        tree, parent, k = self.tree, at >> 8, at & 255
+        unit, skipped, before = tree.made[parent]
+        code = tree.codes[tree.begin[parent] + k]
+        self[at] = number = tree.add(unit, (*skipped, code), before + k + 1)
+        return number
 
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) >= CACHE // VARIANTS // 2:
-            self.old = dict(self)
-            self.clear()
-        packed = self.old.get(unit)
-        if packed is None:
-            packed = self.encode(unit)
-        self[unit] = packed
-        return packed
 
-    def encode(self, unit: str) -> bytes:
+class Outcomes:
+    """Outcomes of units, numbered: the candidates still to be drawn, and the bytes of the ids (four each) if none of them is skipped.
+
+    Each follows from the unit and the skips alone, so what is forgotten is found again the same.
+    """
+
+    #: The outcome of units that are not kept.
+    LONG = 0
+
+    def __init__(self, pieces: Pieces, dropout: float):
+        self.pieces, self.dropout, self.limit = pieces, dropout, int(dropout * 2**64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.roots, self.children = Roots(self), Children(self)
+        self.codes, self.begin, self.size = array("Q"), array("q", [0]), array("q", [0])
+        self.made, self.packed = [("", (), 0)], [b""]
+
+    def add(self, unit: str, skipped: tuple[int, ...], before: int) -> int:
+        if len(unit) > SHORT or (self.dropout and "\u2581" in unit):
+            return self.LONG
+        codes, parts = self.pieces.follow(unit.replace(" ", "\u2581"), skipped)
+        ids = self.pieces.ids_of(parts)
+        self.begin.append(len(self.codes))
+        self.size.append(len(codes) - before)
+        self.codes.extend(codes[before:])
+        self.made.append((unit, skipped, before))
+        self.packed.append(struct.pack(f"<{len(ids)}i", *ids))
+        return len(self.packed) - 1
+
+    def alone(self, unit: str, key: int) -> bytes:
+        """The bytes of a unit that is not kept."""
         model, text = self.pieces, unit.replace(" ", "\u2581")
         if not self.dropout or "\u2581" not in unit:
-            ids = model.merge(text, self.dropout, self.key)
+            ids = model.merge(text, self.dropout, key)
         else:  # the mark itself would decode as a space; its bytes do not
-            ids = []
+            ids, at = [], 0
             for part in re.split("(\u2581)", unit):
-                ids += [model.byte_ids[b] for b in part.encode()] if part == "\u2581" else model.merge(part.replace(" ", "\u2581"), self.dropout, self.key)
+                ids += [model.byte_ids[b] for b in part.encode()] if part == "\u2581" else model.merge(part.replace(" ", "\u2581"), self.dropout, key, at)
+                at += len(part)
         return struct.pack(f"<{len(ids)}i", *ids)
 
+    def draw(self, units: list[str], keys: np.ndarray) -> list[bytes]:
+        """The bytes of each unit; ``keys`` are those of the occurrences."""
+        if len(self.packed) > CACHE:
+            self.clear()
+        nodes = np.fromiter(map(self.roots.__getitem__, units), np.int64, len(units))
+        long = np.flatnonzero(nodes == self.LONG).tolist()
+        left = np.arange(len(units)) if self.limit else np.zeros(0, np.int64)
+        while len(left):  # each round finds the first skip of what is left, if there is one
+            at = nodes[left]
+            size, begin = np.frombuffer(self.size, np.int64)[at], np.frombuffer(self.begin, np.int64)[at]
+            low = np.cumsum(size) - size
+            if not len(self.codes) or not size.sum():
+                break
+            owner = np.repeat(np.arange(len(left)), size)
+            codes = np.frombuffer(self.codes, np.uint64)[np.arange(len(owner)) + (begin - low)[owner]]
+            hits = np.flatnonzero(mix(codes + keys[left][owner]) < np.uint64(self.limit))
+            who = owner[hits]
+            first = np.ones(len(who), bool)
+            first[1:] = who[1:] != who[:-1]
+            who, hits = who[first], hits[first]
+            steps = at[who] << 8 | hits - low[who]
+            left = left[who]
+            nodes[left] = np.fromiter(map(self.children.__getitem__, steps.tolist()), np.int64, len(steps))
+        out = list(map(self.packed.__getitem__, nodes.tolist()))
+        for k in long:
+            out[k] = self.alone(units[k], int(keys[k]))
+        return out
+
 
 class Encoder:
     def __init__(self, path: str, dropout: float, seed: int):
         self.pieces, self.seed = Pieces(path), seed
-        self.variants = [Variant(self.pieces, dropout, xxhash.xxh64_intdigest(f"{seed}:{v}")) for v in range(VARIANTS if dropout else 1)]
+        self.outcomes = Outcomes(self.pieces, dropout)
 
     def encode(self, text: str, key: int) -> bytes:
-        """Ids of a whole text, four bytes each. ``key`` picks the variant of its first unit."""
-        if not text:
-            return b""
-        units, n = UNIT.findall(" " + text), len(self.variants)
-        if n == 1:
-            return b"".join(map(self.variants[0].__getitem__, units))
-        first = xxhash.xxh64_intdigest(str(key), self.seed)
-        out: list[bytes] = [b""] * len(units)
-        for v in range(n):
-            out[v::n] = map(self.variants[(first + v) % n].__getitem__, units[v::n])
-        return b"".join(out)
+        """Ids of a whole text, four bytes each. ``key`` is the document's."""
+        return self.encode_all([text], [key])[0]
+
+    def encode_all(self, texts: list[str], keys: list) -> list[bytes]:
+        units: list[str] = []
+        ends, occurrences = [], [np.zeros(0, np.uint64)]
+        for text, key in zip(texts, keys, strict=True):
+            own = UNIT.findall(" " + text) if text else []
+            units += own
+            ends.append(len(units))
+            document = np.uint64(xxhash.xxh64_intdigest(str(key), self.seed))
+            occurrences.append(mix(np.arange(len(own), dtype=np.uint64) * np.uint64(_UNIT) + document))
+        drawn = np.concatenate(occurrences)
+        packed: list[bytes] = []
+        for k in range(0, len(units), TOGETHER):
+            packed += self.outcomes.draw(units[k : k + TOGETHER], drawn[k : k + TOGETHER])
+        return [b"".join(packed[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def parts(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``CHARS`` characters together."""
+    start = size = 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= CHARS or k == len(texts) - 1:
+            yield start, k + 1
+            start, size = k + 1, 0
 
 
 def encode(df: DataFrame, path: str, dropout: float = 0.1, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -178,17 +302,16 @@ def encode(df: DataFrame, path: str, dropout: float = 0.1, seed: int = 7, id_col
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         encoder = per_worker(("pieces", path, dropout, seed), lambda: Encoder(path, dropout, seed))
         for batch in batches:
             rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                packed = encoder.encode(text, "" if i is None else i)
-                ids = np.frombuffer(packed, np.int32)
-                row = (i, len(ids), hashlib.sha256(packed).hexdigest(), encoder.pieces.decode(ids.tolist()) == text)
-                rows.append((*row, ids) if with_ids else row)
+            numbers, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in parts(texts):
+                encoded = encoder.encode_all(texts[a:b], ["" if i is None else i for i in numbers[a:b]])
+                for i, text, packed in zip(numbers[a:b], texts[a:b], encoded, strict=True):
+                    ids = np.frombuffer(packed, np.int32)
+                    row = (i, len(ids), hashlib.sha256(packed).hexdigest(), encoder.pieces.decode(ids.tolist()) == text)
+                    rows.append((*row, ids) if with_ids else row)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -133,6 +133,25 @@ def test_pieces_with_dropout(spark):
     assert [back[i] for i in range(len(texts))] == [t or "" for t in texts]
 
 
+def test_each_candidate_draws_on_its_own():
+    path, text = public_tokenizers.path("piece_bpe_32k.model"), "international " * 3000
+    encoder, dropout = pieces.Encoder(path, 0.1, 7), 0.1
+    units = pieces.UNIT.findall(" " + text)
+    keys = pieces.mix(np.arange(len(units), dtype=np.uint64) * np.uint64(pieces._UNIT) + np.uint64(pieces.xxhash.xxh64_intdigest("5", 7)))
+    drawn = encoder.outcomes.draw(units, keys)
+    assert b"".join(drawn) == encoder.encode(text, 5) and encoder.encode(text, 5) != encoder.encode(text, 6)
+    assert len(set(drawn)) > 30  # three before
+    for unit, key, packed in zip(units, keys.tolist(), drawn, strict=True):  # what is kept gives what a plain agenda gives
+        assert np.frombuffer(packed, np.int32).tolist() == encoder.pieces.merge(unit.replace(" ", "\u2581"), dropout, key)
+    ids, counts = encoder.pieces.ids, []
+    assert "th" in ids
+    for unit in ("th" * 20, "th" * 200):  # equal candidates in one unit, by either agenda
+        for key in range(50):
+            merged = encoder.pieces.merge(unit, 0.5, key << 40)
+            counts.append(sum(i == ids["t"] for i in merged) * 40 / len(unit))
+    assert 4 < sum(counts) / len(counts) < 16 and sum(0 < c < 20 for c in counts) > 90  # all or none before
+
+
 ITEMS = [(1, "the quick brown fox jumps over the lazy dog while nine wizards quietly mix seven odd potions tonight"), (2, "short one"), (3, None)]
 
 
