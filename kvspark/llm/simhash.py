@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, LongType
 
 from kvspark.llm.base import checkpoint, fresh
 from kvspark.llm.words import LOWER, WORD, mix
@@ -61,10 +61,10 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 SKETCH = 128
 
 
-def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = 4, out: str = "fingerprint", sketch: str | None = None, repeats: int = 1) -> DataFrame:
+def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = 4, out: str = "fingerprint", shingles: str | None = None, repeats: int = 1) -> DataFrame:
     """Adds the fingerprint as a signed long; the text column is left out. Text by text, whatever its length.
 
-    ``sketch`` names a further column: the upper halves of the ``SKETCH`` smallest different shingle hashes. With ``repeats``
+    ``shingles`` names a further column: all different shingle hashes. With ``repeats``
     there are more fingerprints, ``out`` with 1, 2, … behind it, of the same hashes mixed anew.
     """
     names = [out, *(f"{out}{k}" for k in range(1, repeats))]
@@ -77,15 +77,15 @@ def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = 4, out: s
             for k in range(repeats):
                 again = (mix(h + np.uint64(k)) if k else h for h in hashes)
                 columns.append(pa.array(np.fromiter(map(majority, again), np.uint64, len(hashes)).view(np.int64)))
-            if sketch:
-                columns.append(pa.array([np.unique((h >> np.uint64(32)).astype(np.uint32))[:SKETCH].view(np.int32) for h in hashes], pa.list_(pa.int32())))
+            if shingles:
+                columns.append(pa.array([np.unique(h).view(np.int64) for h in hashes], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     schema = type(df.schema)(list(kept))
     for name in names:
         schema = schema.add(name, "long")
-    if sketch:
-        schema = schema.add(sketch, ArrayType(IntegerType()))
+    if shingles:
+        schema = schema.add(shingles, ArrayType(LongType()))
     return df.mapInArrow(run, schema)
 
 
@@ -98,6 +98,12 @@ def resemblance(a: Column, b: Column) -> Column:
     return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(F.try_divide(common.cast("double"), F.size(both).cast("double")))
 
 
+def jaccard(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two whole sets of shingle hashes. Two empty sets: 1."""
+    common = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(common.cast("double"), (F.size(a) + F.size(b) - common).cast("double")), F.lit(1.0))
+
+
 def _masks(groups: int) -> list[int]:
     """The bits of each group of two-bit segments."""
     cuts = [round(32 * g / groups) for g in range(groups + 1)]
@@ -179,6 +185,12 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets are as similar; ``sets`` has node and shingles, each node once."""
+    a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"of_{n}")) for n in "ab")
+    return pairs.join(a, "a").join(b, "b").filter(jaccard(F.col("of_a"), F.col("of_b")) >= similarity).select("a", "b")
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4, groups: int = 7, similarity: float | None = None, repeats: int = 1
 ) -> DataFrame:
@@ -186,12 +198,12 @@ def near_duplicates(
 
     Null and empty texts have fingerprint 0 and are linked like any other. Null ids get the component
     of their fingerprint; a component without any id has a null one. With ``similarity``, texts with different
-    fingerprints are linked only if their shingle sets are as similar, judged by the sketches of their first documents.
+    fingerprints are linked only if the whole shingle sets of their first documents are as similar.
     ``repeats`` independent fingerprints find more of the pairs that are similar but not close in one.
     """
-    sketch = None if similarity is None else "sketch"
+    shingles = None if similarity is None else "shingles"
     names = ["mark", *(f"mark{k}" for k in range(1, repeats))]
-    made = fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", shingle, "mark", sketch, repeats)
+    made = fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", shingle, "mark", shingles, repeats)
     rows = checkpoint(made.withColumn("node", F.col("mark") if repeats == 1 else F.xxhash64(*names)))
     nodes = rows.groupBy("node").agg(F.min("id").alias("low"), *([F.min(n).alias(n) for n in names] if repeats > 1 else []))
     if repeats == 1:
@@ -203,9 +215,10 @@ def near_duplicates(
             pairs = pairs.unionByName(near_pairs(nodes.select("node", F.col(name).alias("mark")), distance, groups, similarity is not None, "node"))
         pairs = pairs.distinct()
     if similarity is not None:
-        first = rows.groupBy("node").agg(F.min_by("sketch", "id").alias("sketch"))
-        a, b = (first.select(F.col("node").alias(n), F.col("sketch").alias(f"of_{n}")) for n in "ab")
-        pairs = pairs.join(a, "a").join(b, "b").filter(resemblance(F.col("of_a"), F.col("of_b")) >= similarity).select("a", "b")
+        pairs = checkpoint(pairs)
+        some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        first = rows.join(some, "node", "left_semi").groupBy("node").agg(F.min_by("shingles", "id").alias("shingles"))
+        pairs = alike(pairs, first, similarity)
     roots = components(pairs).withColumnRenamed("node", "member")
     linked = nodes.join(roots, nodes["node"] == roots["member"], "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))

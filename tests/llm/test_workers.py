@@ -88,6 +88,33 @@ def test_near_duplicates_and_keep_one(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def shingle_set(text):
+    return set(simhash.shingle_hashes(text, 5).tolist())
+
+
+def similar_texts(r, n, changes, start):
+    """Pairs of texts of ``n`` words, the second with the given numbers of words changed: (id, text) twice for each."""
+    rows = []
+    for k, c in enumerate(changes):
+        words = [f"w{start + k}x{r.randrange(10**6)}" for _ in range(n)]
+        other = list(words)
+        for at in r.sample(range(n), c):
+            other[at] = f"new{r.randrange(10**9)}"
+        rows += [(start + 2 * k, " ".join(words)), (start + 2 * k + 1, " ".join(other))]
+    return rows
+
+
+def test_similarity_of_long_texts_is_exact(spark):
+    rows = similar_texts(random.Random(3), 600, [10, 11, 12, 13, 14, 15] * 6, 0)
+    sets = dict((i, shingle_set(t)) for i, t in rows)
+    want = {k: len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in range(0, len(rows), 2)}
+    df = spark.createDataFrame([(i, sorted(x - (1 << 64) if x >> 63 else x for x in s)) for i, s in sets.items()], "node long, shingles array<long>")
+    pairs = spark.createDataFrame([(k, k + 1) for k in want], "a long, b long")
+    assert {r.a for r in simhash.alike(pairs, df, 0.8).collect()} == {k for k, j in want.items() if j >= 0.8}
+    assert any(0.78 < j < 0.8 for j in want.values()) and any(0.8 <= j < 0.82 for j in want.values())
+    assert simhash.alike(spark.createDataFrame([(0, 1)], "a long, b long"), spark.createDataFrame([(0, []), (1, [])], "node long, shingles array<long>"), 0.8).count() == 1
+
+
 def test_token_counts(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = token_counts.load(path)
