@@ -115,6 +115,33 @@ def test_similarity_of_long_texts_is_exact(spark):
     assert simhash.alike(spark.createDataFrame([(0, 1)], "a long, b long"), spark.createDataFrame([(0, []), (1, [])], "node long, shingles array<long>"), 0.8).count() == 1
 
 
+def test_all_similar_pairs_are_linked(spark):
+    r, rows = random.Random(9), []
+    for n, most in ((6, 1), (30, 1), (60, 1), (120, 3), (600, 12)):
+        rows += similar_texts(r, n, [r.randint(1, most) for _ in range(30)], len(rows))
+    line = " ".join(f"license{k}" for k in range(30))  # common to many
+    rows = [(i, f"{t} {line}" if i % 3 == 0 else t) for i, t in rows]
+    rows += [(5000 + k, " ".join([*(f"g{x}" for x in range(100)), f"end{k}"])) for k in range(60)] + [(6000, ""), (6001, None), (6002, "one two")]
+    sets = {i: shingle_set(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in sets.items():
+        for k, b in sets.items():
+            if i < k and (len(a & b) >= 0.8 * len(a | b)):
+                x, y = sorted((find(i), find(k)))
+                root[y] = x
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.id: x.component_id for x in simhash.near_duplicates(df, shingle=5, similarity=0.8).collect()}
+    assert got == {i: find(i) for i in sets}
+    assert sum(find(i) == find(i + 1) for i in range(0, 300, 2)) > 40
+    assert {x.doc_id for x in simhash.keep_one(df).collect()} == {find(i) for i in sets}
+
+
 def test_token_counts(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = token_counts.load(path)
