@@ -1,13 +1,16 @@
-"""Benchmark decontamination by spaced seeds.
+"""Benchmark decontamination by seeds.
 
-A seed is a fixed mask over ``SPAN`` neighbouring tokens; positions that it ignores may
+A seed is a fixed mask over up to ``SPAN`` neighbouring tokens; positions that it ignores may
 differ. The masks' hashes of all benchmark items are a lookup table; documents are
 scanned against it, and each hit fixes a diagonal between a document and an item. Along
-the diagonal the best stretch around the hit is found that tolerates substitutions, and
-reported if it is long enough.
+the diagonal the best stretch is found that tolerates substitutions, and
+reported if it is long enough. Besides the fixed masks, each item has a run of equal tokens as a
+mask that is short enough for any overlap that the rule accepts (``run_length``), so none is missed.
+Scripts without spaces are cut into characters.
 """
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvspark.llm.words import TOKEN, WordIds, mix, per_worker
+from kvspark.llm.words import WordIds, mix, per_worker
 
 # Masks of one span; 1 is a token that counts, 0 one that may differ.
 MASKS = ("11111111", "110101101011", "111001011001", "101100110111")
 SPAN = 12
+#: Thai, Lao, Burmese, Khmer, kana and Han: each character is a token.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"[^\W{_UNSPACED}]+|(?=\w)[{_UNSPACED}]")
 
 
 @dataclass(frozen=True)
@@ -51,15 +57,35 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
+def needed(n: int, rule: Overlap) -> int:
+    """Equal tokens that an overlap with an item of ``n`` tokens needs."""
+    return min(rule.min_tokens, math.ceil(n * (1 - rule.max_subs) - 1e-9))
+
+
+def run_length(n: int, rule: Overlap) -> int:
+    """Neighbouring equal tokens that any overlap with an item of ``n`` tokens has: s equal tokens and d others leave a run of s / (d + 1)."""
+    least, most = max(1, needed(n, rule)), n
+    runs = [s for s in (n,) if s]
+    for s in range(least, most + 1):
+        d = min(n - s, math.floor(s * rule.max_subs / (1 - rule.max_subs) + 1e-9)) if rule.max_subs < 1 else n - s
+        runs.append(-(-s // (d + 1)))
+        if s >= 4 * rule.min_tokens:  # from here on runs differ by rounding only, upwards
+            break
+    return max(1, min(runs, default=1))
+
+
 class Index:
     """Seed hashes of one block of items, sorted, with a bit table in front."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], rule: Overlap | None = None):
         ids = WordIds()
         self.items = [(i, tokens(t, ids)) for i, t in items]
         self.tables = []
-        for mask in MASKS:
-            hashes = [seed_hashes(w, mask) for _, w in self.items]
+        runs = [run_length(len(w), rule or Overlap()) for _, w in self.items]
+        masks = [*MASKS, *("1" * k for k in sorted(set(runs)) if "1" * k not in MASKS)]
+        for mask in masks:
+            # the fixed masks hold all items, a run those that need it
+            hashes = [seed_hashes(w, mask) if mask in MASKS or len(mask) == k else np.zeros(0, np.uint64) for (_, w), k in zip(self.items, runs, strict=True)]
             which = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
             at = np.concatenate([np.arange(len(h)) for h in hashes] or [np.zeros(0, int)])
             flat = np.concatenate(hashes or [np.zeros(0, np.uint64)])
@@ -101,6 +127,17 @@ def best_stretch(equal: np.ndarray, max_subs: float) -> tuple[int, int]:
     return start, end
 
 
+def widest_stretch(equal: np.ndarray, max_subs: float) -> tuple[int, int]:
+    """The stretch with most equal positions of those in which the share of differences is at most ``max_subs``; both its ends are equal."""
+    sums = np.concatenate([[0.0], np.cumsum(np.where(equal, max_subs, max_subs - 1.0))])
+    lows, same = np.minimum.accumulate(sums), np.concatenate([[0], np.cumsum(equal)])
+    starts = np.searchsorted(-lows, -(sums + 1e-9))  # the first from which the sum up to each end is not negative
+    end = int(np.argmax(same - same[starts]))
+    start = int(starts[end])
+    inside = np.flatnonzero(equal[start:end])
+    return (start + int(inside[0]), start + int(inside[-1]) + 1) if len(inside) else (0, 0)
+
+
 def overlaps(words: np.ndarray, index: Index, rule: Overlap) -> Iterator[tuple[int, int, int, int, int]]:
     """(item_id, start, end, item_start, equal tokens) of each overlap, one for an item: the one with most equal tokens, then the first."""
     best: dict[int, tuple[int, int, int, int]] = {}
@@ -108,9 +145,15 @@ def overlaps(words: np.ndarray, index: Index, rule: Overlap) -> Iterator[tuple[i
         item = index.items[k][1]
         low, high = max(0, shift), min(len(words), shift + len(item))
         equal = words[low:high] == item[low - shift : high - shift]
+        need = needed(len(item), rule)
+        if np.count_nonzero(equal) < need:
+            continue
         start, end = best_stretch(equal, rule.max_subs)
         same = int(equal[start:end].sum())
-        if same >= min(rule.min_tokens, math.ceil(len(item) * (1 - rule.max_subs))):
+        if same < need:  # shorter runs between differences than the score asks for
+            start, end = widest_stretch(equal, rule.max_subs)
+            same = int(equal[start:end].sum())
+        if same >= need:
             new = (same, -(low + start), low + end, low + start - shift)
             best[k] = max(best.get(k, new), new)
     for k, (same, start, end, at) in sorted(best.items()):
@@ -133,8 +176,8 @@ def blocks(benchmark: DataFrame, rule: Overlap, item_col: str, text_col: str) ->
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, rule: Overlap | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per row of ``docs`` and item that it overlaps: doc_id, item_id, start_token, end_token, item_start, n_equal, n_tokens.
 
-    Null and empty texts overlap nothing; repeated rows are reported alike; items without a seed (fewer
-    than eight tokens) cannot be found. An empty benchmark gives no rows.
+    Null and empty texts overlap nothing; repeated rows are reported alike. Items of fewer than five tokens
+    are found whole only. Items without tokens are not found. An empty benchmark gives no rows.
     """
     rule = rule or Overlap()
     context = docs.sparkSession.sparkContext
@@ -143,7 +186,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, rule: Overlap | None =
     out = docs.sparkSession.createDataFrame([], schema)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     for block in blocks(benchmark, rule, item_col, "text"):
-        sent = context.broadcast(Index(block))  # bounded by block_tokens
+        sent = context.broadcast(Index(block, rule))  # bounded by block_tokens
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index, ids = sent.value, per_worker("decontaminate words", WordIds)
@@ -170,6 +213,6 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, rule: Overlap | None
         return F.pandas_udf(leaks, "boolean")
 
     for block in blocks(benchmark, rule, item_col, "text"):
-        leaks = judge(docs.sparkSession.sparkContext.broadcast(Index(block)))  # bounded by block_tokens
+        leaks = judge(docs.sparkSession.sparkContext.broadcast(Index(block, rule)))  # bounded by block_tokens
         docs = docs.filter(~leaks(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     return docs

@@ -235,6 +235,26 @@ def test_spaced_seeds_tolerate_substitutions():
         assert decontaminate.seed_hashes(base, mask)[10] == decontaminate.seed_hashes(changed, mask)[10]
 
 
+def test_every_accepted_overlap_has_a_seed():
+    r, rule, ids = random.Random(12), decontaminate.Overlap(), decontaminate.WordIds()
+    for n in [*range(1, 31), 60]:
+        item = [f"item{n}x{k}" for k in range(n)]
+        index = decontaminate.Index([(1, " ".join(item))], rule)
+        for _ in range(40):
+            words = list(item)
+            for at in r.sample(range(n), n // 5):
+                words[at] = "other"
+            found = list(decontaminate.overlaps(decontaminate.tokens("a b " + " ".join(words) + " c", ids), index, rule))
+            assert [f[0] for f in found] == [1], (n, words)
+        if n < 13:  # too many substitutions
+            words = item[: n - n // 5 - 1] + ["other"] * (n // 5 + 1)
+            assert not list(decontaminate.overlaps(decontaminate.tokens(" ".join(words), ids), index, rule))
+    item = "今天天气很好我们一起去公园散步吧"
+    index = decontaminate.Index([(1, item)], rule)
+    assert [f[0] for f in decontaminate.overlaps(decontaminate.tokens(f"他说{item}然后走了 and left", ids), index, rule)] == [1]
+    assert not list(decontaminate.overlaps(decontaminate.tokens("他说然后走了今天天气不好", ids), index, rule))
+
+
 def test_top_k_is_exact(spark):
     r = random.Random(4)
     values = [r.gauss(0, 1e3) for _ in range(500)] + [1.0] * 50 + [1.0 + 1e-13, -1e300, 1e300]
