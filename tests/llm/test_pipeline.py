@@ -1,3 +1,6 @@
+import hashlib
+import struct
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -31,6 +34,17 @@ def test_stages(spark, tmp_path):
     assert all(r.lossless for r in rows.values())
 
 
+def test_the_encoding_is_written(spark, tmp_path):
+    write(spark, tmp_path, [(1, prose(1)), (2, prose(2))])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    name, stage = corpus_pipeline.STAGES[-1]
+    rows = stage(spark, docs, str(tmp_path)).collect()
+    assert name == "encoding" and {r.doc_id for r in rows} == {1, 2}
+    for r in rows:
+        assert len(r.ids) == r.n_tokens > 0
+        assert hashlib.sha256(struct.pack(f"<{len(r.ids)}i", *r.ids)).hexdigest() == r.ids_sha256
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     write(spark, tmp_path, [(1, prose(1)), (1, prose(1)), (None, None)])
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
