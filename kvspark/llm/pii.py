@@ -20,7 +20,15 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: Account numbers' countries by length; of others the longest match is taken.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_BY_LENGTH = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+_LISTED = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+IBAN = rf"(?<![A-Za-z0-9])(?:{_BY_LENGTH}|(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -30,7 +38,7 @@ _SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double
 
 @dataclass(frozen=True)
 class PiiRule:
-    """prior: score of a confirmed span by kind. A context word within ``reach`` code points before it adds ``bonus``."""
+    """prior: score of a confirmed span by kind. A context word within ``reach`` code points before it, or behind it in the same clause, adds ``bonus``."""
 
     prior: dict[str, float] = field(default_factory=lambda: {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4})
     context: dict[str, str] = field(default_factory=lambda: {
@@ -101,7 +109,8 @@ def find_pii(df: DataFrame, text_col: str = "text", rule: PiiRule | None = None,
         def tag(s: Column) -> Column:
             from_ = F.greatest(s["start"] - rule.reach, F.lit(0))
             near = F.substr(text, (from_ + 1).cast("int"), (s["start"] - from_).cast("int"))
-            score = F.lit(rule.prior[kind]) + F.when(near.rlike(rule.context[kind]), F.lit(rule.bonus)).otherwise(F.lit(0.0))
+            behind = F.substring_index(F.translate(F.substr(text, (s["end"] + 1).cast("int"), F.lit(rule.reach)), ",;!?\n", "....."), ".", 1)
+            score = F.lit(rule.prior[kind]) + F.when(near.rlike(rule.context[kind]) | behind.rlike(rule.context[kind]), F.lit(rule.bonus)).otherwise(F.lit(0.0))
             return F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.least(score, F.lit(1.0)).alias("score"))
 
         spans = F.transform(F.filter(F.col(names[kind]), lambda s: _confirmed(kind, s)), tag)

@@ -183,3 +183,10 @@ def test_sweep_keeps_the_active_rules(seed):
         key = ".".join(reversed(host.split("."))) + "."
         active = [s for k, s in events if k <= key][-1]
         assert {x.host for x in active} == {h for h in hosts if host == h or host.endswith("." + h)}
+
+
+def test_account_numbers_end_with_their_length_and_context_may_follow(spark):
+    texts = ["DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89370400440532013000 2024 PAID", "123-45-6789 is my social security number", "123-45-6789 is a part", "DE89 3704 0044 0532 0130 01 BIC"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert rows == {0: "[IBAN] BIC COBADEFFXXX", 1: "[IBAN] 2024 PAID", 2: "[SSN] is my social security number", 3: texts[3], 4: texts[4]}
