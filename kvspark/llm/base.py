@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -49,11 +50,19 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share; one of our own only where it is unset, as in local tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="kvspark-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is no longer needed, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext

@@ -10,6 +10,8 @@ lengths merges the runs without comparing known prefixes again, and its output h
 common prefix of neighbours, from which, with the left contexts, the repeated windows follow.
 Everything that decides is a comparison of bytes; hashes only bring candidates together.
 
+There are as many ranges as it takes for about ``RANGE_BYTES`` in each, whatever the input.
+
 An anchor's group with more than ``MAX_GROUP`` members is not gathered: its windows are
 counted one by one by a 128-bit hash, which is dealt over all tasks.
 """
@@ -26,14 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvspark.llm.base import shared_folder
+from kvspark.llm.base import remove, shared_folder
 from kvspark.llm.words import mix
 
 LENGTH, GRAM = 400, 64
 MAX_GROUP = 30_000
 FILTER_BITS = 27
 PIECE = 1 << 18
-RUN_BYTES = 8 << 20
+RUN_BYTES, RANGE_BYTES = 8 << 20, 24 << 20
 _STEP = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_STEP, -1, 1 << 64)
 _TABLE = np.array([xxhash.xxh64_intdigest(bytes([b]), 11) for b in range(256)], np.uint64)
@@ -379,17 +381,26 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     counts.write.parquet(f"{folder}/twice")
     twice = spark.read.parquet(f"{folder}/twice")
     hot = twice.filter(F.col("n") > max_group)
+    members = twice.agg(F.sum("n")).first()[0] or 0
+    ranges = max(2 * parts, -(-members * 2 * length // RANGE_BYTES))
     table = spark.sparkContext.broadcast(_bit_table(twice))  # 2 ** FILTER_BITS bits
     large = None if hot.isEmpty() else spark.sparkContext.broadcast(_bit_table(hot))
     named = texts.select("k1", "k2", "text")
-    runs = named.mapInArrow(_run_rows(length, gram, 2 * parts, table, large), "range long, run binary")
+    runs = named.mapInArrow(_run_rows(length, gram, ranges, table, large), "range long, run binary")
     spans = runs.groupBy("range").applyInArrow(_merged_spans(length), "k1 long, k2 long, start long, end long")
     if large is not None:
         named.mapInArrow(_window_rows(length, gram, table, large), "w1 long, w2 long, k1 long, k2 long, start long").write.parquet(f"{folder}/windows")
         windows = spark.read.parquet(f"{folder}/windows")
-        again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
+        # written first, so that both sides of the join are plain exchanges and a window with many members can be split
+        windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2").write.parquet(f"{folder}/again")
+        again = spark.read.parquet(f"{folder}/again")
         spans = spans.unionByName(windows.join(again, ["w1", "w2"]).select("k1", "k2", "start", (F.col("start") + length).alias("end")))
     by_text = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     cut = texts.join(by_text, ["k1", "k2"], "left").select("k1", "k2", "text", "spans", "copies")
     out = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>"
-    return rows.select("k1", "k2", "doc_id").join(cut.mapInArrow(_cut_rows(length), out), ["k1", "k2"]).drop("k1", "k2")
+    cut.mapInArrow(_cut_rows(length), out).write.parquet(f"{folder}/cut")
+    spark.sql(f"DROP TABLE {name}")
+    for part in ("texts", "twice", "windows", "again"):
+        remove(spark, f"{folder}/{part}")
+    # a text with many copies is one row on the right; on the left, a plain exchange, it can be split
+    return rows.select("k1", "k2", "doc_id").join(spark.read.parquet(f"{folder}/cut"), ["k1", "k2"]).drop("k1", "k2")
