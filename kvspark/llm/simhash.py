@@ -8,26 +8,21 @@ of ``groups - distance`` groups. The grid join meets fingerprints by cell, tests
 Manhattan bound, takes each pair only in the first cell that it shares, and then
 compares all bits. Links between different fingerprints become components by
 alternating star contraction; equal fingerprints are one node from the start.
-
-With a similarity, pairs come from an exact join of shingle sets instead: two sets that are
-as similar share one of the first shingles of each, in any one order of all shingles.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
-from kvspark.llm.base import checkpoint, fresh
-from kvspark.llm.words import LOWER, WORD, mix
+from kvspark.llm.base import checkpoint
+from kvspark.llm.words import LOWER, WORD
 
 SEED = 42
 _LOW = 0x5555555555555555
@@ -61,51 +56,18 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return majority(shingle_hashes(text, shingle))
 
 
-#: Hashes in a sketch; two texts with no more different shingles than this are compared exactly.
-SKETCH = 128
-
-
-def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = 4, out: str = "fingerprint", shingles: str | None = None, repeats: int = 1) -> DataFrame:
-    """Adds the fingerprint as a signed long; the text column is left out. Text by text, whatever its length.
-
-    ``shingles`` names a further column: all different shingle hashes. With ``repeats``
-    there are more fingerprints, ``out`` with 1, 2, … behind it, of the same hashes mixed anew.
-    """
-    names = [out, *(f"{out}{k}" for k in range(1, repeats))]
+def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = 4, out: str = "fingerprint") -> DataFrame:
+    """Adds the fingerprint as a signed long; the text column is left out. Text by text, whatever its length."""
     kept = [f for f in df.schema.fields if f.name != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_hashes(t.as_py(), shingle) for t in batch.column(batch.schema.get_field_index(text_col))]
+            marks = [fingerprint(t.as_py(), shingle) for t in batch.column(batch.schema.get_field_index(text_col))]
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            for k in range(repeats):
-                again = (mix(h + np.uint64(k)) if k else h for h in hashes)
-                columns.append(pa.array(np.fromiter(map(majority, again), np.uint64, len(hashes)).view(np.int64)))
-            if shingles:
-                columns.append(pa.array([np.unique(h).view(np.int64) for h in hashes], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
-
-    schema = type(df.schema)(list(kept))
-    for name in names:
-        schema = schema.add(name, "long")
-    if shingles:
-        schema = schema.add(shingles, ArrayType(LongType()))
-    return df.mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.array(marks, np.uint64).view(np.int64))], schema.names)
 
-
-def resemblance(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two shingle sets from their sketches; exact if together they have ``SKETCH`` hashes at most. Two empty sets: 1."""
-    # signed order is as good as any: sketches hold the smallest unsigned hashes, so order by the flipped sign bit
-    flip = lambda x: F.transform(x, lambda v: v.bitwiseXOR(F.lit(-(1 << 31))))
-    both = F.slice(F.sort_array(F.array_union(flip(a), flip(b))), 1, SKETCH)
-    common = F.size(F.array_intersect(F.array_intersect(both, flip(a)), flip(b)))
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(F.try_divide(common.cast("double"), F.size(both).cast("double")))
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two whole sets of shingle hashes. Two empty sets: 1."""
-    common = F.size(F.array_intersect(a, b))
-    return F.coalesce(F.try_divide(common.cast("double"), (F.size(a) + F.size(b) - common).cast("double")), F.lit(1.0))
+    schema = type(df.schema)(list(kept)).add(out, "long")
+    return df.mapInArrow(run, schema)
 
 
 def _masks(groups: int) -> list[int]:
@@ -133,27 +95,24 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.bit_count(odd) + F.bit_count(far) * 2
 
 
-def near_pairs(marks: DataFrame, distance: int = 4, groups: int = 7, fine: bool = False, node: str = "mark") -> DataFrame:
+def near_pairs(marks: DataFrame, distance: int = 4, groups: int = 7, node: str = "mark") -> DataFrame:
     """Pairs (a, b), a < b, of different values of the column ``node`` whose ``mark`` differs in ``distance`` or fewer bits, once each.
 
     ``marks`` holds each node once; by default the marks are the nodes. No cell has a cap; the work in one grows with the square of the different fingerprints in it.
-    With ``fine``, cells hold fingerprints that agree in a set's bits, not in its counts alone: fewer, and as sure to meet, which
-    larger distances need.
     """
     if not 0 < distance < groups <= 30:
         raise ValueError("distance must be positive and below the number of groups, which is at most 30")
     masks = _masks(groups)
     sets = [sum(1 << g for g in s) for s in combinations(range(groups), groups - distance)]
     unions = [_signed(sum(m for g, m in enumerate(masks) if s >> g & 1)) for s in sets]
-    of = (lambda mark: mark) if fine else segment_counts
-    at = of(F.col("mark"))
+    at = segment_counts(F.col("mark"))
     cells = marks.select(
         F.explode(F.array(*[F.struct(F.lit(s | ((1 << s.bit_length()) - 1) << 32).alias("set"), F.xxhash64(F.lit(s), at.bitwiseAND(F.lit(u))).alias("cell")) for s, u in zip(sets, unions, strict=True)])).alias("c"),
         *dict.fromkeys(["mark", node]),
     ).select("c.set", "c.cell", *dict.fromkeys(["mark", node]))
     left, right = cells.alias("l"), cells.alias("r")
     a, b = F.col("l.mark"), F.col("r.mark")
-    differs = of(a).bitwiseXOR(of(b))
+    differs = segment_counts(a).bitwiseXOR(segment_counts(b))
     agree = F.lit(0)
     for g, mask in enumerate(masks):
         agree = agree.bitwiseOR(F.when(differs.bitwiseAND(F.lit(_signed(mask))) == 0, F.lit(1 << g)).otherwise(F.lit(0)))
@@ -189,137 +148,20 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets are as similar; ``sets`` has node and shingles, each node once."""
-    a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"of_{n}")) for n in "ab")
-    return pairs.join(a, "a").join(b, "b").filter(jaccard(F.col("of_a"), F.col("of_b")) >= similarity).select("a", "b")
-
-
-#: Sets of which common shingles are learned; they only order shingles, so pairs do not depend on them.
-LEARNED = 2_000
-#: Nodes of pairs that are broadcast at most; more are joined by a shuffle.
-SENT = 200_000
-
-
-def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a thousandth of some sets has, in order of their hashes, with their counts."""
-    every = max(1, sets.count() // LEARNED)
-    some = sets.filter(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).dropDuplicates(["node"])
-    least = max(3, some.count() // 1000)
-    rows = some.select(F.explode("shingles").alias("h")).groupBy("h").count().filter(F.col("count") >= least).toPandas()  # 1,000 sets' worth at most
-    hashes, counts = rows["h"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
-
-
-def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, n, place, h): the first of each set's n shingles, rare ones first, as many as it takes for two sets of ``similarity`` to share one."""
-    sent = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = sent.value
-        for batch in batches:
-            first, sizes = [], []
-            for shingles in batch.column(1):
-                h = shingles.values.to_numpy(zero_copy_only=False)
-                often = np.zeros(len(h), np.int64)
-                if len(hashes):
-                    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                    often = np.where(hashes[at] == h, counts[at], 0)
-                needed = math.ceil(similarity * len(h) - 1e-9)
-                first.append(h[np.lexsort((h, often))][: len(h) - max(needed, 1) + 1])
-                sizes.append(len(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["node", "n", "first"])
-
-    made = sets.select("node", "shingles").mapInArrow(run, "node long, n int, first array<long>")
-    once = made.groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"))
-    return once.select("node", "n", F.posexplode("first").alias("place", "h"))
-
-
-def similar_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of similar nodes that join all nodes that any chain of similar pairs joins.
-
-    ``sets`` holds node and shingles; rows of one node are equal. First each node meets the smallest node with which it shares one of
-    its first shingles; then all nodes that share one and are not joined yet. So a large group of near copies of one text makes few pairs.
-    """
-    if not 0 < similarity <= 1:
-        raise ValueError("similarity must be above 0 and at most 1")
-    index = prefixes(sets, similarity)
-    same = Window.partitionBy("h")
-    index = checkpoint(index.withColumns({"c": F.count("*").over(same), "low": F.min(F.struct("node", "n")).over(same)}).filter("c > 1").drop("c"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        # in order, one set's first shingles end no later than the other's, so what is common is among them or behind them
-        behind = F.ceil(F.greatest("na", "nb") * F.lit(similarity) - 1e-9)
-        shares = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        pairs = checkpoint(shares.filter(F.col("c") + behind >= (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity) - 1e-9)).select("a", "b"))
-        some = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        some = F.broadcast(some) if some.count() <= SENT else some
-        return checkpoint(alike(pairs, sets.join(some, "node", "left_semi").dropDuplicates(["node"]).select("node", "shingles"), similarity))
-
-    links = verified(index.filter("node != low.node").select(F.col("low.node").alias("a"), F.col("node").alias("b"), F.col("low.n").alias("na"), F.col("n").alias("nb")))
-    roots = components(links)
-    index = index.join(roots, "node", "left").select("h", "n", "place", "node", F.coalesce("root", "node").alias("root"))
-    left, right = index.alias("l"), index.alias("r")
-    least = F.lit(similarity - 1e-9)
-    # what two sets can share at most, seen from one shared shingle
-    most = F.least("l.place", "r.place") + 1 + F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place")) - 1
-    meets = (F.col("l.h") == F.col("r.h")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & (most >= least * (F.col("l.n") + F.col("r.n") - most))
-    return links.unionByName(verified(left.join(right, meets).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.n").alias("na"), F.col("r.n").alias("nb"))))
-
-
-def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4, groups: int = 7, similarity: float | None = None, repeats: int = 1
-) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4, groups: int = 7) -> DataFrame:
     """One row per input row: id, fingerprint (signed long), component_id (the smallest id that can be reached).
 
     Null and empty texts have fingerprint 0 and are linked like any other. Null ids get the component
-    of their fingerprint; a component without any id has a null one. ``repeats`` independent fingerprints find more of the pairs
-    that are similar but not close in one. With ``similarity``, texts are linked if their shingle sets are as similar, whatever their
-    fingerprints; then ``distance``, ``groups`` and ``repeats`` have no effect.
-    """
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if similarity is not None:
-        made = fingerprints(source, "text", shingle, "mark", "shingles")
-        # equal sets are one node; they are sorted
-        rows = checkpoint(made.withColumn("node", F.xxhash64("shingles")))
-        nodes = rows.groupBy("node").agg(F.min("id").alias("low"))
-        pairs = similar_pairs(rows.select("node", "shingles"), similarity)
-    else:
-        names = ["mark", *(f"mark{k}" for k in range(1, repeats))]
-        made = fingerprints(source, "text", shingle, "mark", repeats=repeats)
-        rows = checkpoint(made.withColumn("node", F.col("mark") if repeats == 1 else F.xxhash64(*names)))
-        nodes = rows.groupBy("node").agg(F.min("id").alias("low"), *([F.min(n).alias(n) for n in names] if repeats > 1 else []))
-        if repeats == 1:
-            pairs = near_pairs(nodes.select(F.col("node").alias("mark")), distance, groups)
-        else:
-            nodes = checkpoint(nodes)
-            pairs = near_pairs(nodes.select("node", "mark"), distance, groups, node="node")
-            for name in names[1:]:
-                pairs = pairs.unionByName(near_pairs(nodes.select("node", F.col(name).alias("mark")), distance, groups, node="node"))
-            pairs = pairs.distinct()
-    roots = components(pairs).withColumnRenamed("node", "member")
-    linked = nodes.join(roots, nodes["node"] == roots["member"], "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = linked.join(lows, "root").select("node", "component_id")
-    return rows.join(named, "node").select("id", F.col("mark").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 8, shingle: int = 5, groups: int = 10, similarity: float | None = 0.8, repeats: int = 4) -> DataFrame:
-    """One row of each component, columns unchanged: that of the smallest id, then text hash.
-
-    By default near duplicates share four fifths of their five-word shingles, and all such pairs are found. Without a ``similarity``
-    they differ in ``distance`` or fewer bits of one of ``repeats`` fingerprints.
-
-    Of rows that share both id and text one stays, whichever of them. Rows with a null id are told apart by their texts.
+    of their fingerprint; a component without any id has a null one.
     """
-    number, digest = fresh(docs, "number", "digest")
-    # both are never null, so the join and the removal of repeated rows share one shuffle of the texts
-    marked = docs.withColumns({number: F.xxhash64(F.col(id_col)), digest: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    key = F.struct(F.col(id_col).alias("id"), F.col(number).alias("number"), F.col(digest).alias("digest"))
-    found = near_duplicates(marked.select(key.alias("key"), text_col), "key", text_col, distance, shingle, groups, similarity, repeats)
-    first = found.select(F.col("component_id.number").alias(number), F.col("component_id.digest").alias(digest)).distinct()
-    return marked.join(first, [number, digest], "left_semi").dropDuplicates([number, digest]).select(docs.columns)
+    rows = checkpoint(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", shingle, "mark"))
+    nodes = rows.groupBy("mark").agg(F.min("id").alias("low"))
+    roots = components(near_pairs(nodes.select("mark"), distance, groups))
+    linked = checkpoint(nodes.join(roots, nodes["mark"] == roots["node"], "left").select("mark", "low", F.coalesce("root", "mark").alias("root")))
+    # written, so that a component or fingerprint with many rows can be split
+    lows = checkpoint(linked.groupBy("root").agg(F.min("low").alias("component_id")))
+    named = checkpoint(linked.join(lows, "root").select("mark", "component_id"))
+    return rows.join(named, "mark").select("id", F.col("mark").alias("fingerprint"), "component_id")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:

@@ -29,11 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvspark.llm.base import remove, shared_folder
-from kvspark.llm.words import mix
+from kvspark.llm.words import bit_table, in_table, mix
 
 LENGTH, GRAM = 400, 64
 MAX_GROUP = 30_000
-FILTER_BITS = 27
 PIECE = 1 << 18
 RUN_BYTES, RANGE_BYTES = 8 << 20, 24 << 20
 _STEP = 0x9E3779B97F4A7C15 | 1
@@ -229,31 +228,15 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
-def _bit_table(hashes: DataFrame) -> np.ndarray:
-    """One bit for each value of the low ``FILTER_BITS`` bits of the column ``h``, packed. Built in pages by Spark; the driver gets no more than the table."""
-    slot = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1  # bitmap functions count from 1
-    pages = hashes.groupBy(F.bitmap_bucket_number(slot).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for row in pages.toLocalIterator():
-        part = np.frombuffer(bytes(row["bits"]), np.uint8)
-        out[(row["page"] - 1) * len(part) : row["page"] * len(part)] = part
-    return out
-
-
-def _in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = hashes & ((1 << FILTER_BITS) - 1)
-    return (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-
-
 def _chosen(batch: pa.RecordBatch, length: int, gram: int, twice, large, want_large: bool) -> Iterator[tuple[bytes, bytes, int, int, int, int]]:
     """(owner, text, hash, place, lo, hi) of the anchors that are not unique, of the large groups or of the others."""
     for k1, k2, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes(batch, "text"), strict=True):
         if len(data) < length:
             continue
         found = anchors(data, length, gram)
-        keep = _in_table(twice, found[0])
+        keep = in_table(twice, found[0])
         if large is not None:
-            keep &= _in_table(large, found[0]) == want_large
+            keep &= in_table(large, found[0]) == want_large
         if keep.any():
             owner, text = k1.to_bytes(8, "big", signed=True) + k2.to_bytes(8, "big", signed=True), data.tobytes()
             for h, place, lo, hi in zip(*(f[keep].tolist() for f in found), strict=True):
@@ -383,8 +366,8 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     hot = twice.filter(F.col("n") > max_group)
     members = twice.agg(F.sum("n")).first()[0] or 0
     ranges = max(2 * parts, -(-members * 2 * length // RANGE_BYTES))
-    table = spark.sparkContext.broadcast(_bit_table(twice))  # 2 ** FILTER_BITS bits
-    large = None if hot.isEmpty() else spark.sparkContext.broadcast(_bit_table(hot))
+    table = spark.sparkContext.broadcast(bit_table(twice))  # a fixed number of bits
+    large = None if hot.isEmpty() else spark.sparkContext.broadcast(bit_table(hot))
     named = texts.select("k1", "k2", "text")
     runs = named.mapInArrow(_run_rows(length, gram, ranges, table, large), "range long, run binary")
     spans = runs.groupBy("range").applyInArrow(_merged_spans(length), "k1 long, k2 long, start long, end long")

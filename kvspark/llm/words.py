@@ -6,9 +6,13 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 TOKEN = re.compile(r"\w+")
+#: Bits of a table of hashes, as a power of two.
+FILTER_BITS = 27
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -48,3 +52,19 @@ def per_worker(key, make):
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def bit_table(hashes: DataFrame) -> np.ndarray:
+    """One bit for each value of the low ``FILTER_BITS`` bits of the column ``h``, packed. Built in pages by Spark; the driver gets no more than the table."""
+    slot = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1  # bitmap functions count from 1
+    pages = hashes.groupBy(F.bitmap_bucket_number(slot).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for row in pages.toLocalIterator():
+        part = np.frombuffer(bytes(row["bits"]), np.uint8)
+        out[(row["page"] - 1) * len(part) : row["page"] * len(part)] = part
+    return out
+
+
+def in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes & ((1 << FILTER_BITS) - 1)
+    return (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from kvspark.llm import decontaminate, importance, pieces, simhash, token_counts
+from kvspark.llm import decontaminate, importance, near_copies, pieces, simhash, token_counts
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 EDGE = [None, "", " ", "a", "Hello  world\n\tfoo é 你好 ", "don't we'll 123 x²³ \u0085y\u00a0z\x1cq", "a<|endoftext|>b <|endoftext|>", "x" * 20000, "日本語 текст ελ ا ﷽ 🎉 ᲀ ꟍ", "\n", " \n x", "▁a ▁"]
@@ -44,25 +44,10 @@ def test_near_pairs_lose_and_repeat_nothing(spark):
     got = [tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in simhash.near_pairs(df).collect()]
     want = {(a, b) for i, a in enumerate(marks) for b in marks[i + 1 :] if (a ^ b).bit_count() <= 4}
     assert len(got) == len(set(got)) and set(got) == want
-    fine = [tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in simhash.near_pairs(df, 8, 10, fine=True).collect()]
-    assert len(fine) == len(set(fine)) and set(fine) == {(a, b) for i, a in enumerate(marks) for b in marks[i + 1 :] if (a ^ b).bit_count() <= 8}
     with pytest.raises(ValueError):
         simhash.near_pairs(df, distance=7, groups=7)
 
 
-def test_resemblance(spark):
-    r, pairs = random.Random(8), []
-    for n in (0, 1, 40, 100, 600):
-        a = [r.getrandbits(32) for _ in range(n)]
-        pairs.append((a, [r.getrandbits(32) if r.random() < 0.1 else x for x in a]))
-    sketch = lambda x: np.unique(np.array(x, np.uint32))[: simhash.SKETCH].view(np.int32).tolist()
-    df = spark.createDataFrame([(k, sketch(a), sketch(b)) for k, (a, b) in enumerate(pairs)], "k int, a array<int>, b array<int>")
-    for row in df.select("k", simhash.resemblance(df.a, df.b).alias("j")).collect():
-        a, b = map(set, pairs[row.k])
-        want = len(a & b) / len(a | b) if a | b else 1.0
-        assert abs(row.j - want) <= (0 if len(a | b) <= simhash.SKETCH else 0.12)
-
-
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(205, 203), (203, 201), (201, 205), (7, 7)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -81,11 +66,11 @@ def test_near_duplicates_and_keep_one(spark):
     assert of[7].fingerprint == "0" * 16 and of[1].fingerprint == f"{naive_fingerprint('quite another text of its own'):016x}"
     near = (naive_fingerprint(texts[0][1]) ^ naive_fingerprint(texts[2][1])).bit_count() <= 4
     assert of[9].component_id == (3 if near else 9)
-    kept = simhash.keep_one(df)
-    close = simhash.near_duplicates(df.filter("doc_id in (3, 5, 9)"), shingle=5, distance=8, groups=10, similarity=0.8)
-    joined = close.select("component_id").distinct().count() == 1  # 9 shares 195 of 197 shingles with the others
-    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {None, 1, 7} | ({9} - ({9} if joined else set()))
-    assert simhash.keep_one(df.limit(0)).count() == 0
+    kept = near_copies.keep_one(df)  # 9 shares 195 of 197 shingles with the others
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "7", "None"]
+    assert near_copies.keep_one(df.limit(0)).count() == 0
+    twice = df.filter("doc_id = 1").unionByName(df.filter("doc_id = 1"))
+    assert [r.doc_id for r in near_copies.keep_one(twice).collect()] == [1]
 
 
 def shingle_set(text):
@@ -110,9 +95,9 @@ def test_similarity_of_long_texts_is_exact(spark):
     want = {k: len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in range(0, len(rows), 2)}
     df = spark.createDataFrame([(i, sorted(x - (1 << 64) if x >> 63 else x for x in s)) for i, s in sets.items()], "node long, shingles array<long>")
     pairs = spark.createDataFrame([(k, k + 1) for k in want], "a long, b long")
-    assert {r.a for r in simhash.alike(pairs, df, 0.8).collect()} == {k for k, j in want.items() if j >= 0.8}
+    assert {r.a for r in near_copies.alike(pairs, df, 0.8).collect()} == {k for k, j in want.items() if j >= 0.8}
     assert any(0.78 < j < 0.8 for j in want.values()) and any(0.8 <= j < 0.82 for j in want.values())
-    assert simhash.alike(spark.createDataFrame([(0, 1)], "a long, b long"), spark.createDataFrame([(0, []), (1, [])], "node long, shingles array<long>"), 0.8).count() == 1
+    assert near_copies.alike(spark.createDataFrame([(0, 1)], "a long, b long"), spark.createDataFrame([(0, []), (1, [])], "node long, shingles array<long>"), 0.8).count() == 1
 
 
 def test_all_similar_pairs_are_linked(spark):
@@ -136,10 +121,10 @@ def test_all_similar_pairs_are_linked(spark):
                 x, y = sorted((find(i), find(k)))
                 root[y] = x
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x.id: x.component_id for x in simhash.near_duplicates(df, shingle=5, similarity=0.8).collect()}
+    got = {x.id: x.low.id for x in near_copies.groups_of(df).collect()}
     assert got == {i: find(i) for i in sets}
     assert sum(find(i) == find(i + 1) for i in range(0, 300, 2)) > 40
-    assert {x.doc_id for x in simhash.keep_one(df).collect()} == {find(i) for i in sets}
+    assert {x.doc_id for x in near_copies.keep_one(df).collect()} == {find(i) for i in sets}
 
 
 def test_token_counts(spark):
@@ -279,3 +264,16 @@ def test_resampling_prefers_the_target(spark):
     assert {tuple(x) for x in kept.collect()} == {tuple(x) for x in kept.repartition(2).collect()}
     assert importance.resample(df, labels.limit(0)).count() == len(docs)
     assert importance.resample(df.limit(0), labels).count() == 0
+
+
+def test_sketches_bound_the_difference(spark):
+    r, rows = np.random.default_rng(3), []
+    for n, m, changed in ((0, 0, 0), (5, 5, 1), (150, 150, 20), (500, 530, 40), (700, 600, 90), (3000, 2500, 300)):
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[changed : min(n, m)], r.integers(0, 1 << 63, m - min(n, m) + changed, dtype=np.uint64)]))
+        rows.append([near_copies.odd_sketch(x, near_copies.sketch_longs(len(x))).tolist() for x in (a, b)] + [len(np.setxor1d(a, b))])
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, differ int")
+    got = df.select("differ", near_copies.sketch_distance(df.a, df.b).alias("d")).collect()
+    assert all(x.d <= x.differ and x.d % 2 == x.differ % 2 for x in got) and sum(x.d > 0.5 * x.differ for x in got) >= 5
+    long, short = near_copies.odd_sketch(np.arange(999, dtype=np.uint64), 16), near_copies.odd_sketch(np.arange(999, dtype=np.uint64), 8)
+    assert (long[:8] ^ long[8:] == short).all()
