@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvspark.errors import Corruption, InvalidArgument
+from kvspark.operators.resolve import number_rows
 from kvspark.schema import BATCH, DELETE, MAX_SEQ, PUT
 
 _HEADER = 12
@@ -76,9 +77,7 @@ def assign_sequence(batch: DataFrame, last_seq: int) -> DataFrame:
 
 def index_ops(ops: DataFrame, order: list[str]) -> DataFrame:
     """Adds a contiguous ``op_index`` from 0 by the given columns, without gathering the rows: a range sort and the partitions' counts."""
-    ranked = ops.orderBy(*order).rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
-    schema = type(ops.schema)([BATCH["op_index"], *ops.schema.fields])
-    return ops.sparkSession.createDataFrame(ranked, schema)
+    return number_rows(ops, *map(F.col, order), name="op_index").select((F.col("op_index") - 1).alias("op_index"), *ops.columns)
 
 
 def check_batch(batch: DataFrame) -> int:

@@ -2,16 +2,18 @@
 
 With S the oldest sequence number that a snapshot pins, a version is dropped if the next
 newer version of its key is also visible at S. So what stays is every version above S and the
-newest one at or below S: one aggregate with map-side combination, instead of a window
-that would put all versions of a hot key into one task.
+newest one at or below S: the former pass through, the latter are one aggregate with map-side
+combination, instead of a window that would put all versions of a hot key into one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,27 +37,53 @@ class CompactionFilter:
     mode: str = "safe"
 
 
-def prune(log: DataFrame, oldest: int, shape: Shape = SHAPE) -> DataFrame:
-    """Drops versions that no snapshot at ``oldest`` or later can see. Adds ``__newest``: no newer version of the key exists."""
-    columns = log.columns
-    above = log.filter(F.col(shape.seq) > oldest)
-    below = newest(log.filter(F.col(shape.seq) <= oldest), shape=shape)
-    last = log.groupBy(*shape.keys).agg(F.max(shape.seq).alias("__last"))
-    rows = above.unionByName(below).join(last, list(shape.keys))
-    return rows.select(*columns, (F.col(shape.seq) == F.col("__last")).alias("__newest"))
+def prune(log: DataFrame, oldest: int, shape: Shape = SHAPE, flag: bool = False) -> DataFrame:
+    """Drops versions that no snapshot at ``oldest`` or later can see. With ``flag``, adds ``__newest``: no newer version of the key exists."""
+    seq = F.col(shape.seq)
+    rows = log.filter(seq > oldest).unionByName(newest(log.filter(seq <= oldest), shape=shape))
+    if not flag:
+        return rows
+    # by key and number, so the versions of a hot key do not meet in one task
+    last = log.groupBy(*shape.keys).agg(F.max(shape.seq).alias(shape.seq)).withColumn("__newest", F.lit(True))
+    return rows.join(last, [*shape.keys, shape.seq], "left").select(*log.columns, F.coalesce("__newest", F.lit(False)).alias("__newest"))
 
 
-def elide_tombstones(rows: DataFrame, oldest: int, deeper: DataFrame | None, shape: Shape = SHAPE) -> DataFrame:
-    """Drops deletes at or below ``oldest`` whose key lies in no file of a deeper level.
+#: Ranges that are tested one by one in an expression; more are searched.
+FEW_RANGES = 32
 
-    ``deeper``: (smallest, largest) of those files, or None if there are none. File lists are small: they come from the manifest.
+
+def merged(ranges: Sequence[tuple]) -> list[tuple]:
+    """The ranges (smallest, largest), both inclusive, as disjoint ones in order."""
+    out: list[tuple] = []
+    for low, high in sorted(ranges):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
+def elide_tombstones(rows: DataFrame, oldest: int, deeper: Sequence[tuple] | None, shape: Shape = SHAPE) -> DataFrame:
+    """Drops deletes at or below ``oldest`` whose key lies in no file of a deeper level: one pass, no join.
+
+    ``deeper``: (smallest, largest) of those files, as the manifest has them; many are searched by bisection, for deletes only.
     """
     gone = (F.col(shape.vtype) == 0) & (F.col(shape.seq) <= oldest)
-    if deeper is None:
-        return rows.filter(~gone)
-    key = F.col(shape.keys[0])
-    dead = rows.filter(gone).join(F.broadcast(deeper.select("smallest", "largest")), key.between(F.col("smallest"), F.col("largest")), "left_semi")
-    return rows.filter(~gone).unionByName(dead)
+    spans, key = merged(deeper or ()), F.col(shape.keys[0])
+    if len(spans) <= FEW_RANGES:
+        covered = F.lit(False)
+        for low, high in spans:
+            covered = covered | key.between(F.lit(low), F.lit(high))
+        return rows.filter(~gone | covered)
+    at, schema = rows.columns.index(shape.keys[0]), rows.schema
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows = [low for low, _ in spans]
+        for batch in batches:
+            found = [(k := bisect_right(lows, x)) > 0 and x <= spans[k - 1][1] for x in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(found, pa.bool_()))
+
+    return rows.filter(~gone).unionByName(rows.filter(gone).mapInArrow(inside, schema))
 
 
 def apply_filter(rows: DataFrame, oldest: int, rule: CompactionFilter, pinned: bool, shape: Shape = SHAPE) -> DataFrame:
@@ -84,9 +112,9 @@ def apply_filter(rows: DataFrame, oldest: int, rule: CompactionFilter, pinned: b
     return rows.filter(~offered).unionByName(kept.select(columns))
 
 
-def compact(log: DataFrame, oldest: int, deeper: DataFrame | None = None, rule: CompactionFilter | None = None, pinned: bool = False, shape: Shape = SHAPE) -> DataFrame:
+def compact(log: DataFrame, oldest: int, deeper: Sequence[tuple] | None = None, rule: CompactionFilter | None = None, pinned: bool = False, shape: Shape = SHAPE) -> DataFrame:
     """Prune, then elide, then filter."""
-    rows = elide_tombstones(prune(log, oldest, shape), oldest, deeper, shape)
+    rows = elide_tombstones(prune(log, oldest, shape, flag=rule is not None), oldest, deeper, shape)
     if rule is not None:
         rows = apply_filter(rows, oldest, rule, pinned, shape)
         if rule.mode == "safe" and not pinned:  # the deletes that removal has left cover nothing any more

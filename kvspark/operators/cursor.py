@@ -15,10 +15,10 @@ from kvspark.operators.resolve import visible
 
 
 class Cursor:
-    """Starts unpositioned. ``log`` has key, sort_key, seq, vtype and value."""
+    """Starts unpositioned. ``log`` has key, sort_key, seq, vtype and value. ``close``, or leaving a ``with`` block, lets go of what it pins."""
 
-    def __init__(self, log: DataFrame, as_of: int, encode, page: int = 1000):
-        self.log, self.as_of, self.encode, self.size = log, as_of, encode, page
+    def __init__(self, log: DataFrame, as_of: int, encode, page: int = 1000, release=None):
+        self.log, self.as_of, self.encode, self.size, self.release = log, as_of, encode, page, release
         self.rows: list[tuple[bytes, bytes, bytes]] = []
         self.at = -1
         self.forward_page = True
@@ -70,6 +70,17 @@ class Cursor:
     def value(self) -> bytes:
         return self.rows[self.at][2]
 
+    def close(self) -> None:
+        if self.release is not None:
+            self.release()
+        self.rows, self.at = [], -1
+
+    def __enter__(self) -> Cursor:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def status(self) -> None:
         """Errors surface where they occur, so nothing is pending."""
 

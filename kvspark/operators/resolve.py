@@ -11,12 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvspark.functions.keys import prefix_end
+from kvspark.sources.shared import cut
 
 _FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 #: Keys that a batch lookup sends to every task; more are joined by a shuffle.
@@ -71,7 +73,7 @@ def get(log: DataFrame, key, as_of: int | None = None, shape: Shape = SHAPE) ->
 def multi_get(log: DataFrame, keys: DataFrame, as_of: int | None = None, shape: Shape = SHAPE) -> DataFrame:
     """The live versions of all keys in ``keys`` (same column names). A bounded number of keys is sent to every task, more are joined by a shuffle."""
     wanted = keys.select(*shape.keys).distinct()
-    few = len(wanted.take(MAX_BROADCAST_KEYS + 1)) <= MAX_BROADCAST_KEYS
+    few = wanted.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
     return visible(log.join(F.broadcast(wanted) if few else wanted, list(shape.keys), "left_semi"), as_of, shape)
 
 
@@ -114,8 +116,20 @@ def prefix_scan(log: DataFrame, prefix, as_of: int | None = None, shape: Shape =
 
 
 def history(log: DataFrame, shape: Shape = SHAPE) -> DataFrame:
-    """All versions in internal order: key, then newest first, with their rank ``rn``."""
-    return log.withColumn("rn", F.row_number().over(Window.partitionBy(*shape.keys).orderBy(F.col(shape.seq).desc())))
+    """All versions in internal order: key, then newest first, with their rank ``rn``.
+
+    A range sort by key and sequence number splits a key with many versions over partitions. Ranks count within a partition; keys
+    that go on over a boundary, at most one for each, then get the number of their versions in the partitions before.
+    """
+    keys, seq = list(shape.keys), F.col(shape.seq).desc()
+    rows = cut(log.repartitionByRange(*keys, seq).sortWithinPartitions(*keys, seq)).withColumn("__part", F.spark_partition_id())
+    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("__part", *keys).orderBy(seq)))
+    sizes = rows.groupBy("__part", *keys).agg(F.count("*").alias("__n"))
+    ends = rows.groupBy("__part").agg(F.max(F.struct(*keys)).alias("__k")).select("__k.*").distinct()  # a key that goes on is the last of a partition
+    sizes = sizes.join(F.broadcast(ends), keys, "left_semi")  # at most partitions squared
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter("__before > 0")
+    out = ranked.join(F.broadcast(before.select("__part", *keys, "__before")), ["__part", *keys], "left")
+    return out.withColumn("rn", (F.col("rn") + F.coalesce("__before", F.lit(0))).cast("int")).select(*log.columns, "rn")
 
 
 def merge_sources(sources: Sequence[DataFrame], shape: Shape = SHAPE) -> DataFrame:
@@ -144,10 +158,12 @@ def snapshot_diff(log: DataFrame, before: int, after: int, shape: Shape = SHAPE)
 
 
 def number_rows(df: DataFrame, *order: Column, name: str = "pos") -> DataFrame:
-    """Adds each row's place in the order, from 1. A range sort and the sizes of its partitions: no task gets all rows."""
-    counted = df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return df.sparkSession.createDataFrame(counted, schema)
+    """Adds each row's place in the order, from 1. A range sort, written, and the sizes of its partitions: no task gets all rows, no row goes through Python."""
+    rows = cut(df.orderBy(*order)).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = dict(rows.groupBy("__part").agg(F.count("*")).collect())  # one row a partition
+    before = list(accumulate((sizes.get(p, 0) for p in range(max(sizes, default=0) + 1)), initial=0))[:-1]
+    start = F.element_at(F.array(*map(F.lit, before)), F.col("__part") + 1) if before else F.lit(0)
+    return rows.select(*df.columns, (start + F.col("__at") + 1).cast("long").alias(name))
 
 
 def changes_since(log: DataFrame, seq: int, shape: Shape = SHAPE) -> DataFrame:

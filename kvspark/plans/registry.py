@@ -23,8 +23,11 @@ ORACLES: dict[str, str] = {}
 KEY = "0000000000000007"
 LOW, HIGH = "0000000000000010", "0000000000000050"
 PREFIX = "00000000000000"
-S1, S2, OLDEST = 400, 900, 600
+#: Tenths of the last sequence number: two snapshots, and the oldest that is pinned.
+POINTS = (4, 9, 6)
+S1, S2, OLDEST = (f"(SELECT max(seq) * {p} // 10 FROM log)" for p in POINTS)
 BUCKETS = 8
+DEEPER = [(LOW, HIGH), ("0000000000000100", "0000000000000120")]
 
 EVENTS = """
 log AS (
@@ -42,6 +45,12 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def points(log: DataFrame) -> list[int]:
+    """The sequence numbers of ``POINTS``."""
+    top = log.agg(F.max("seq")).first()[0] or 0
+    return [top * p // 10 for p in POINTS]
+
+
 def query(name: str, sql: str):
     def register(f):
         QUERIES[name], ORACLES[name] = f, sql.strip()
@@ -50,7 +59,7 @@ def query(name: str, sql: str):
     return register
 
 
-def _newest(where: str = "") -> str:
+def newest_sql(where: str = "") -> str:
     return f"WITH {EVENTS}, {RESOLVED.format(where=where)}"
 
 
@@ -66,69 +75,74 @@ def _pos(df: DataFrame, *order) -> DataFrame:
     return df.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
-@query("kv_latest", f"{_newest()} SELECT {LIVE} FROM newest WHERE vtype = 1")
+@query("kv_latest", f"{newest_sql()} SELECT {LIVE} FROM newest WHERE vtype = 1")
 def kv_latest(spark, sf_dir):
     return _live(resolve.visible(events_log(spark, sf_dir)))
 
 
-@query("kv_snapshot_latest", f"{_newest(f' WHERE seq <= {S1}')} SELECT {LIVE} FROM newest WHERE vtype = 1")
+@query("kv_snapshot_latest", f"{newest_sql(f' WHERE seq <= {S1}')} SELECT {LIVE} FROM newest WHERE vtype = 1")
 def kv_snapshot_latest(spark, sf_dir):
-    return _live(resolve.visible(events_log(spark, sf_dir), S1))
+    log = events_log(spark, sf_dir)
+    return _live(resolve.visible(log, points(log)[0]))
 
 
-@query("kv_point_get", f"{_newest()} SELECT {LIVE} FROM newest WHERE vtype = 1 AND key = '{KEY}'")
+@query("kv_point_get", f"{newest_sql()} SELECT {LIVE} FROM newest WHERE vtype = 1 AND key = '{KEY}'")
 def kv_point_get(spark, sf_dir):
     return _live(resolve.get(events_log(spark, sf_dir), KEY))
 
 
-@query("kv_get_deleted", f"{_newest()} SELECT {LIVE} FROM newest WHERE vtype = 1 AND key IN (SELECT key FROM newest WHERE vtype = 0)")
+@query("kv_get_deleted", f"{newest_sql()} SELECT key, false AS found FROM newest WHERE vtype = 0 UNION ALL SELECT 'absent', false")
 def kv_get_deleted(spark, sf_dir):
+    """Keys that a lookup does not find, though the log has versions of all but the last."""
     log = events_log(spark, sf_dir)
-    return _live(resolve.multi_get(log, resolve.tombstones(log).select("key")))
+    wanted = resolve.tombstones(log).select("key").unionByName(spark.createDataFrame([("absent",)], "key string"))
+    found = resolve.multi_get(log, wanted).select("key", F.lit(True).alias("found"))
+    return wanted.join(found, "key", "left").fillna(False, ["found"])
 
 
-@query("kv_get_missing", f"{_newest()} SELECT {LIVE} FROM newest WHERE vtype = 1 AND key = 'absent'")
+@query("kv_get_missing", f"{newest_sql()} SELECT k AS key, EXISTS (SELECT 1 FROM newest WHERE vtype = 1 AND key = k) AS found FROM (VALUES ('absent'), ('{KEY}'), ('')) AS w(k)")
 def kv_get_missing(spark, sf_dir):
-    return _live(resolve.get(events_log(spark, sf_dir), "absent"))
+    log = events_log(spark, sf_dir)
+    return spark.createDataFrame([(k, not resolve.get(log, k).isEmpty()) for k in ("absent", KEY, "")], "key string, found boolean")
 
 
-@query("kv_multi_get", f"{_newest()} SELECT {LIVE} FROM newest WHERE vtype = 1 AND key IN (SELECT lpad(cast(c_custkey AS varchar), 16, '0') FROM customer)")
+@query("kv_multi_get", f"{newest_sql()} SELECT {LIVE} FROM newest WHERE vtype = 1 AND key IN (SELECT lpad(cast(c_custkey AS varchar), 16, '0') FROM customer)")
 def kv_multi_get(spark, sf_dir):
     keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(numeric_key(F.col("c_custkey")).alias("key"))
     return _live(resolve.multi_get(events_log(spark, sf_dir), keys))
 
 
-@query("kv_range_scan", f"{_newest()} SELECT {LIVE}, row_number() OVER (ORDER BY key) AS pos FROM newest WHERE vtype = 1 AND key >= '{LOW}' AND key < '{HIGH}'")
+@query("kv_range_scan", f"{newest_sql()} SELECT {LIVE}, row_number() OVER (ORDER BY key) AS pos FROM newest WHERE vtype = 1 AND key >= '{LOW}' AND key < '{HIGH}'")
 def kv_range_scan(spark, sf_dir):
     return resolve.number_rows(_live(resolve.range_scan(events_log(spark, sf_dir), LOW, HIGH)), F.col("key"))
 
 
-@query("kv_reverse_range_scan", f"{_newest()} SELECT {LIVE}, row_number() OVER (ORDER BY key DESC) AS pos FROM newest WHERE vtype = 1 AND key >= '{LOW}' AND key < '{HIGH}'")
+@query("kv_reverse_range_scan", f"{newest_sql()} SELECT {LIVE}, row_number() OVER (ORDER BY key DESC) AS pos FROM newest WHERE vtype = 1 AND key >= '{LOW}' AND key < '{HIGH}'")
 def kv_reverse_range_scan(spark, sf_dir):
     return resolve.number_rows(_live(resolve.range_scan(events_log(spark, sf_dir), LOW, HIGH, reverse=True)), F.desc("key"))
 
 
-@query("kv_seek_limit", f"{_newest()} SELECT {LIVE}, row_number() OVER (ORDER BY key) AS pos FROM newest WHERE vtype = 1 AND key >= '{LOW}' ORDER BY key LIMIT 10")
+@query("kv_seek_limit", f"{newest_sql()} SELECT {LIVE}, row_number() OVER (ORDER BY key) AS pos FROM newest WHERE vtype = 1 AND key >= '{LOW}' ORDER BY key LIMIT 10")
 def kv_seek_limit(spark, sf_dir):
     return _pos(_live(resolve.seek(events_log(spark, sf_dir), LOW, limit=10)), "key")
 
 
-@query("kv_reverse_scan_limit", f"{_newest()} SELECT {LIVE}, row_number() OVER (ORDER BY key DESC) AS pos FROM newest WHERE vtype = 1 ORDER BY key DESC LIMIT 10")
+@query("kv_reverse_scan_limit", f"{newest_sql()} SELECT {LIVE}, row_number() OVER (ORDER BY key DESC) AS pos FROM newest WHERE vtype = 1 ORDER BY key DESC LIMIT 10")
 def kv_reverse_scan_limit(spark, sf_dir):
     return _pos(_live(resolve.range_scan(events_log(spark, sf_dir), reverse=True, limit=10)), F.desc("key"))
 
 
-@query("kv_seek_for_prev", f"{_newest()} SELECT {LIVE} FROM newest WHERE vtype = 1 AND key <= '{HIGH}x' ORDER BY key DESC LIMIT 1")
+@query("kv_seek_for_prev", f"{newest_sql()} SELECT {LIVE} FROM newest WHERE vtype = 1 AND key <= '{HIGH}x' ORDER BY key DESC LIMIT 1")
 def kv_seek_for_prev(spark, sf_dir):
     return _live(resolve.seek_for_prev(events_log(spark, sf_dir), f"{HIGH}x"))
 
 
-@query("kv_prefix_scan", f"{_newest()} SELECT {LIVE} FROM newest WHERE vtype = 1 AND starts_with(key, '{PREFIX}')")
+@query("kv_prefix_scan", f"{newest_sql()} SELECT {LIVE} FROM newest WHERE vtype = 1 AND starts_with(key, '{PREFIX}')")
 def kv_prefix_scan(spark, sf_dir):
     return _live(resolve.prefix_scan(events_log(spark, sf_dir), PREFIX))
 
 
-@query("kv_count", f"{_newest()} SELECT count(*) AS n_live FROM newest WHERE vtype = 1")
+@query("kv_count", f"{newest_sql()} SELECT count(*) AS n_live FROM newest WHERE vtype = 1")
 def kv_count(spark, sf_dir):
     return resolve.visible(events_log(spark, sf_dir)).agg(F.count("*").alias("n_live"))
 
@@ -138,7 +152,7 @@ def kv_history(spark, sf_dir):
     return resolve.history(events_log(spark, sf_dir)).withColumn("rn", F.col("rn").cast("bigint"))
 
 
-@query("kv_tombstones", f"{_newest()} SELECT key, seq FROM newest WHERE vtype = 0")
+@query("kv_tombstones", f"{newest_sql()} SELECT key, seq FROM newest WHERE vtype = 0")
 def kv_tombstones(spark, sf_dir):
     return resolve.tombstones(events_log(spark, sf_dir)).select("key", "seq")
 
@@ -151,12 +165,15 @@ SELECT coalesce(a.key, b.key) AS key, coalesce(a.seq, 0) AS old_seq, coalesce(b.
        CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM a FULL JOIN b ON a.key = b.key WHERE a.seq IS DISTINCT FROM b.seq""")
 def kv_snapshot_diff(spark, sf_dir):
-    return resolve.snapshot_diff(events_log(spark, sf_dir), S1, S2).fillna(0, ["old_seq", "new_seq"])  # 0: not live
+    log = events_log(spark, sf_dir)
+    before, after, _ = points(log)
+    return resolve.snapshot_diff(log, before, after).fillna(0, ["old_seq", "new_seq"])  # 0: not live
 
 
 @query("kv_changes_since", f"WITH {EVENTS} SELECT key, seq, vtype FROM log WHERE seq > {S2}")
 def kv_changes_since(spark, sf_dir):
-    return resolve.changes_since(events_log(spark, sf_dir), S2).select("key", "seq", "vtype")
+    log = events_log(spark, sf_dir)
+    return resolve.changes_since(log, points(log)[1]).select("key", "seq", "vtype")
 
 
 _BATCH = """
@@ -196,33 +213,36 @@ pruned AS (SELECT * FROM ranked WHERE prev IS NULL OR prev > {OLDEST})"""
 
 @query("kv_compact_prune", f"{_LAG} SELECT key, seq, vtype, event_type, value FROM pruned")
 def kv_compact_prune(spark, sf_dir):
-    return compaction.prune(events_log(spark, sf_dir), OLDEST).drop("__newest")
+    log = events_log(spark, sf_dir)
+    return compaction.prune(log, points(log)[2])
 
 
 @query("kv_compact_tombstone_elision", f"""{_LAG}
 SELECT key, seq, vtype, event_type, value FROM pruned
 WHERE NOT (vtype = 0 AND seq <= {OLDEST} AND NOT EXISTS (
-  SELECT 1 FROM (VALUES ('{LOW}', '{HIGH}'), ('0000000000000100', '0000000000000120')) AS d(smallest, largest) WHERE key BETWEEN smallest AND largest))""")
+  SELECT 1 FROM (VALUES {', '.join(map(str, DEEPER))}) AS d(smallest, largest) WHERE key BETWEEN smallest AND largest))""")
 def kv_compact_tombstone_elision(spark, sf_dir):
-    deeper = spark.createDataFrame([(LOW, HIGH), ("0000000000000100", "0000000000000120")], "smallest string, largest string")
-    rows = compaction.prune(events_log(spark, sf_dir), OLDEST)
-    return compaction.elide_tombstones(rows, OLDEST, deeper).drop("__newest")
+    log = events_log(spark, sf_dir)
+    oldest = points(log)[2]
+    return compaction.elide_tombstones(compaction.prune(log, oldest), oldest, DEEPER)
 
 
 @query("kv_compact_filter_remove", f"{_LAG} SELECT key, seq, vtype, event_type, value FROM pruned WHERE NOT (rn = 1 AND seq <= {OLDEST} AND event_type = 'click')")
 def kv_compact_filter_remove(spark, sf_dir):
-    rows = compaction.prune(events_log(spark, sf_dir), OLDEST)
+    log = events_log(spark, sf_dir)
+    oldest = points(log)[2]
     rule = compaction.CompactionFilter(keep=F.col("event_type") != "click", mode="plain")
-    return compaction.apply_filter(rows, OLDEST, rule, False).drop("__newest")
+    return compaction.apply_filter(compaction.prune(log, oldest, flag=True), oldest, rule, False).drop("__newest")
 
 
 @query("kv_compact_filter_change", f"{_LAG} SELECT key, seq, vtype, event_type, CASE WHEN rn = 1 AND seq <= {OLDEST} AND vtype = 1 THEN -1.0 ELSE value END AS value FROM pruned")
 def kv_compact_filter_change(spark, sf_dir):
-    rows = compaction.prune(events_log(spark, sf_dir), OLDEST)
-    return compaction.apply_filter(rows, OLDEST, compaction.CompactionFilter(value=F.lit(-1.0), mode="plain"), False).drop("__newest")
+    log = events_log(spark, sf_dir)
+    oldest = points(log)[2]
+    return compaction.apply_filter(compaction.prune(log, oldest, flag=True), oldest, compaction.CompactionFilter(value=F.lit(-1.0), mode="plain"), False).drop("__newest")
 
 
-@query("kv_compact_full", f"{_newest()} SELECT key, seq, vtype, event_type, value FROM newest WHERE vtype = 1")
+@query("kv_compact_full", f"{newest_sql()} SELECT key, seq, vtype, event_type, value FROM newest WHERE vtype = 1")
 def kv_compact_full(spark, sf_dir):
     return compaction.compact(events_log(spark, sf_dir), 1 << 55)
 
@@ -230,42 +250,33 @@ def kv_compact_full(spark, sf_dir):
 _FILES = f"""
 WITH {EVENTS},
 sized AS (SELECT *, 8 + length(key) + length(event_type) AS bytes, cast(substr(key, 15, 2) AS integer) % {BUCKETS} AS number FROM log),
-files AS (SELECT number % 3 AS level, number, sum(bytes) AS bytes, count(*) AS n_rows, min(key) AS smallest, max(key) AS largest FROM sized GROUP BY 1, 2)"""
+files AS (SELECT number % 3 AS level, number, sum(bytes) AS bytes, min(key) AS smallest, max(key) AS largest, min(seq) AS first_seq, max(seq) AS last_seq FROM sized GROUP BY 1, 2)"""
 
 
-def _files(spark, sf_dir):
+def _files(spark, sf_dir) -> list[planner.FileMeta]:
+    """The log as the metadata of a few files, a bounded list."""
     sized = events_log(spark, sf_dir).withColumns({"bytes": 8 + F.length("key") + F.length("event_type"), "number": F.substring("key", 15, 2).cast("int") % BUCKETS})
-    return sized.groupBy((F.col("number") % 3).alias("level"), "number").agg(
-        F.sum("bytes").alias("bytes"), F.count("*").alias("n_rows"), F.min("key").alias("smallest"), F.max("key").alias("largest")
-    )
-
-
-@query("kv_file_ranges", f"{_FILES} SELECT level, number, cast(bytes AS bigint) AS bytes, n_rows, smallest, largest FROM files")
-def kv_file_ranges(spark, sf_dir):
-    return _files(spark, sf_dir)
+    rows = sized.groupBy("number").agg(F.sum("bytes").alias("b"), F.min("key").alias("low"), F.max("key").alias("high"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("n"))
+    return [planner.FileMeta(r.number % 3, r.number, r.b, r.low.encode(), r.high.encode(), r.first, r.last, r.n, "") for r in rows.collect()]
 
 
-@query("kv_level_stats", f"{_FILES} SELECT level, count(*) AS n_files, cast(sum(bytes) AS bigint) AS bytes FROM files GROUP BY level")
-def kv_level_stats(spark, sf_dir):
-    return _files(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n_files"), F.sum("bytes").alias("bytes"))
+@query("kv_level_scores", f"{_FILES} SELECT cast(level AS integer) AS level, CASE WHEN level = 0 THEN count(*) / {planner.L0_FILES}.0 ELSE sum(bytes) / (10485760.0 * power(10, level - 1)) END AS score FROM files GROUP BY level")
+def kv_level_scores(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return spark.createDataFrame([(n, planner.score(files, n)) for n in sorted({f.level for f in files})], "level int, score double")
 
 
-@query("kv_level_scores", f"{_FILES} SELECT level, CASE WHEN level = 0 THEN count(*) / {planner.L0_FILES}.0 ELSE sum(bytes) / (10485760.0 * power(10, level - 1)) END AS score FROM files GROUP BY level")
-def kv_level_scores(spark, sf_dir):
-    level = F.col("level")
-    limit = F.lit(float(planner.BASE_BYTES)) * F.pow(F.lit(10.0), level - 1)
-    return _files(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).select("level", F.when(level == 0, F.col("n") / float(planner.L0_FILES)).otherwise(F.col("b") / limit).alias("score"))
+@query("kv_overlapping_files", f"{_FILES} SELECT cast(level AS integer) AS level, cast(number AS bigint) AS number FROM files WHERE level > 0 AND smallest <= '{HIGH}' AND largest >= '{LOW}'")
+def kv_overlapping_files(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    found = [f for level in (1, 2) for f in planner.overlapping_inputs(files, level, LOW.encode(), HIGH.encode())]
+    return spark.createDataFrame([(f.level, f.number) for f in found], "level int, number long")
 
 
-@query("kv_approx_sizes", f"""
-WITH {EVENTS}, ranges(range_id, low, high) AS (VALUES (0, '{LOW}', '{HIGH}'), (1, '{HIGH}', '0000000000000090'), (2, '0000000000000090', '0000000000000090'))
-SELECT range_id, cast(coalesce(sum(8 + length(key) + length(event_type)), 0) AS bigint) AS bytes
-FROM ranges LEFT JOIN log ON key >= low AND key < high GROUP BY range_id""")
-def kv_approx_sizes(spark, sf_dir):
-    log, bounds = events_log(spark, sf_dir), [(LOW, HIGH), (HIGH, "0000000000000090"), ("0000000000000090", "0000000000000090")]
-    size = 8 + F.length("key") + F.length("event_type")
-    one = log.agg(*[F.coalesce(F.sum(F.when((F.col("key") >= a) & (F.col("key") < b), size)), F.lit(0)).cast("bigint").alias(str(i)) for i, (a, b) in enumerate(bounds)])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(i).alias("range_id"), F.col(str(i)).alias("bytes")) for i in range(len(bounds))])).alias("r")).select("r.*")
+@query("kv_file_pruning", f"{_FILES} SELECT cast(number AS bigint) AS number FROM files, (SELECT {S1} AS s1) WHERE smallest <= '{KEY}' AND largest >= '{KEY}' AND first_seq <= s1")
+def kv_file_pruning(spark, sf_dir):
+    chosen = planner.prune(_files(spark, sf_dir), KEY.encode(), KEY.encode(), points(events_log(spark, sf_dir))[0])
+    return spark.createDataFrame([(f.number,) for f in chosen], "number long")
 
 
 _LINES = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
@@ -283,7 +294,7 @@ def kv_lineitem_versions(spark, sf_dir):
     return top.filter("t.l_returnflag <> 'R'").select("l_orderkey", "l_linenumber", "seq", "t.l_partkey", "t.l_quantity", "t.l_extendedprice")
 
 
-@query("kv_reverse_comparator", f"{_newest()} SELECT key, seq, row_number() OVER (ORDER BY key DESC) AS pos FROM newest WHERE vtype = 1")
+@query("kv_reverse_comparator", f"{newest_sql()} SELECT key, seq, row_number() OVER (ORDER BY key DESC) AS pos FROM newest WHERE vtype = 1")
 def kv_reverse_comparator(spark, sf_dir):
     log = events_log(spark, sf_dir).select(REVERSE.column(F.col("key").cast("binary")).alias("sort_key"), "key", "seq", "vtype")
     live = resolve.visible(log, shape=Shape(keys=("sort_key",)))
@@ -307,3 +318,6 @@ def kv_orders_multi_get(spark, sf_dir):
     log = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") + 1).alias("seq"), F.lit(1).alias("vtype"), "o_custkey", "o_orderstatus")
     keys = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"))
     return resolve.multi_get(log, keys, shape=Shape(keys=("o_orderkey",))).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+from kvspark.plans import table_queries  # noqa: E402, F401  registers its queries

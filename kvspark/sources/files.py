@@ -1,4 +1,8 @@
-"""Files of a table through Hadoop's file systems, so any URI that Spark reads will do."""
+"""Files of a table through Hadoop's file systems, so any URI that Spark reads will do.
+
+Commits need a store whose rename is atomic and never replaces (local disks, HDFS and stores with a hierarchical namespace); on
+others, let one writer at a time commit.
+"""
 
 from __future__ import annotations
 
@@ -22,6 +26,9 @@ class Files:
     def exists(self, name: str = "") -> bool:
         return self.fs.exists(self._path(name))
 
+    def is_folder(self, name: str = "") -> bool:
+        return self.exists(name) and self.fs.getFileStatus(self._path(name)).isDirectory()
+
     def names(self, name: str = "") -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(name))) if self.exists(name) else []
 

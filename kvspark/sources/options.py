@@ -17,6 +17,9 @@ CODECS = ("none", "snappy", "zstd")
 class Options:
     """max_file_size is the goal for files of a compaction, write_buffer_size the bytes of unflushed writes that start a flush.
 
+    retention_seconds: how long files that are out of use stay, for scans that were made before. pin_seconds: how long a
+    snapshot or cursor holds if its process never gives it back.
+
     ``max_open_files``, ``block_restart_interval`` and ``block_cache_bytes`` are accepted and have no effect: Parquet and Spark
     decide those.
     """
@@ -37,6 +40,8 @@ class Options:
     block_cache_bytes: int = 8 << 20
     key_order: KeyOrder = BYTEWISE
     compaction_filter: CompactionFilter | None = None
+    retention_seconds: float = 600.0
+    pin_seconds: float = 86_400.0
 
     def parquet(self) -> dict[str, str]:
         """Write options of a Parquet file. Bloom filters are on the sort key."""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import io
+import json
 import logging
 import threading
-from collections import Counter
+import time
+import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import replace
 
@@ -25,25 +27,26 @@ from kvspark.plans import planner
 from kvspark.plans.planner import LEVELS, FileMeta
 from kvspark.schema import LOG
 from kvspark.sources.files import Files
+from kvspark.sources.logfile import read_logs
 from kvspark.sources.manifest import Manifest, State, level_counts, parse_name
 from kvspark.sources.options import FlushOptions, Options, ReadOptions, WriteOptions
 
 log = logging.getLogger("kvspark")
 STORED = T.StructType([T.StructField("sort_key", T.BinaryType(), False), *LOG.fields])
 BY_SORT_KEY = Shape(keys=("sort_key",))
-DATA, LOST = "data", "lost"
+DATA, LOST, PINS, DROPPED = "data", "lost", "pins", "dropped"
+#: Keys of a batch lookup that are sent to every task at most; more are joined by a shuffle.
+MAX_SENT_KEYS = 100_000
 
 
 class Snapshot:
     """A pinned sequence number; ``release`` (or leaving a ``with`` block) gives it back."""
 
-    def __init__(self, table: KVTable, seq: int):
-        self.table, self.seq, self.held = table, seq, True
+    def __init__(self, table: KVTable, seq: int, pin: str):
+        self.table, self.seq, self.pin = table, seq, pin
 
     def release(self) -> None:
-        if self.held:
-            self.held = False
-            self.table._unpin(self.seq)
+        self.table._unpin(self.pin)
 
     def __enter__(self) -> Snapshot:
         return self
@@ -52,12 +55,19 @@ class Snapshot:
         self.release()
 
 
+def _names(state: State) -> set[str]:
+    """Names in the data folder that a state needs: of a file, or of the folder that it is in."""
+    paths = [f.path.split("/") for f in (*state.files, *state.deltas)]
+    return {p[-1] if p[-1].endswith(".delta") else p[-2] for p in paths}
+
+
 class KVTable:
     """``KVTable.open`` for a table on disk, ``KVTable.in_memory`` for one without files."""
 
     def __init__(self, spark: SparkSession, path: str | None, options: Options):
         self.spark, self.path, self.options = spark, path, options
-        self.state, self.pins, self.lock = State(order=options.key_order.name), Counter(), threading.RLock()
+        self.state, self.lock = State(order=options.key_order.name), threading.RLock()
+        self.pins: dict[str, dict] = {}  # our own; those on disk are everyone's
         self.memory: list[tuple] = []
         self.files = Files(spark, path) if path else None
         self.manifest = Manifest(self.files) if self.files else None
@@ -87,7 +97,8 @@ class KVTable:
         return table
 
     def close(self) -> None:
-        self.pins.clear()
+        for pin in list(self.pins):
+            self._unpin(pin)
 
     def __enter__(self) -> KVTable:
         return self
@@ -99,9 +110,9 @@ class KVTable:
     def destroy(spark: SparkSession, path: str) -> None:
         """Removes the files of a table; others stay, and so does the folder then."""
         files = Files(spark, path)
-        for folder in ("manifest", DATA, LOST):
+        for folder in ("manifest", DATA, LOST, PINS, DROPPED):
             for name in files.names(folder):
-                if parse_name(name) or folder == LOST or name.endswith(".crc"):
+                if parse_name(name) or folder in (LOST, PINS, DROPPED) or name.endswith(".crc"):
                     files.delete(f"{folder}/{name}")
             if files.exists(folder) and not files.names(folder):
                 files.delete(folder)
@@ -117,11 +128,15 @@ class KVTable:
         self.write(WriteBatch().delete(key))
 
     def write(self, batch: WriteBatch, options: WriteOptions | None = None) -> int:
-        """Commits a batch as a whole and returns the last sequence number. A commit is durable."""
+        """Commits a batch as a whole and returns the last sequence number. A commit is durable.
+
+        With many files on level 0 a write waits a moment; with too many it compacts first.
+        """
         if not len(batch):
             return self.state.last_seq
         encode = self.options.key_order.encode
         with self.lock:
+            self._make_room()
             while True:
                 rows = [(encode(r[0]), *r) for r in batch.rows(self.state.last_seq)]
                 if not self.files:
@@ -140,6 +155,22 @@ class KVTable:
                 self.flush()
             return rows[-1][2]
 
+    def write_group(self, batches: Sequence[WriteBatch], options: WriteOptions | None = None) -> list[int]:
+        """Commits several batches as one, in order, and returns the last sequence number of each."""
+        together, ends = WriteBatch(), []
+        for batch in batches:
+            together.append(batch)
+            ends.append(len(together))
+        last = self.write(together, options)
+        return [last - len(together) + n for n in ends]
+
+    def _make_room(self) -> None:
+        advice = self.debt().advice
+        if advice == "slow":
+            time.sleep(0.001)
+        elif advice == "stop":
+            self.maintain()
+
     def write_df(self, batch: DataFrame, batch_id: str | None = None) -> int:
         """Commits a DataFrame (op_index, vtype, key, value). With a ``batch_id`` a second attempt does nothing."""
         if not self.files:
@@ -173,7 +204,10 @@ class KVTable:
         return first
 
     def _publish(self, state: State) -> None:
-        self.state = self.manifest.commit(state)
+        before, self.state = _names(self.state), self.manifest.commit(state)
+        gone = sorted(before - _names(self.state))
+        if gone:  # how long they stay is for vacuum to say; repair leaves them out
+            self.files.create(f"{DROPPED}/{self.state.version:012d}.json", json.dumps({"at": time.time(), "names": gone}).encode())
 
     # -- files -----------------------------------------------------------------------
 
@@ -231,7 +265,8 @@ class KVTable:
         if not encoded:
             return {}
         wanted = self.spark.createDataFrame([(k,) for k in encoded], "sort_key binary")
-        rows = self.log(min(encoded), max(encoded), self._seq(options)).join(F.broadcast(wanted), "sort_key", "left_semi")
+        wanted = F.broadcast(wanted) if len(encoded) <= MAX_SENT_KEYS else wanted
+        rows = self.log(min(encoded), max(encoded), self._seq(options)).join(wanted, "sort_key", "left_semi")
         return {encoded[bytes(r.sort_key)]: bytes(r.value) for r in visible(rows, self._seq(options), BY_SORT_KEY).collect()}
 
     def scan(self, start: bytes | None = None, end: bytes | None = None, options: ReadOptions | None = None, reverse: bool = False, limit: int | None = None) -> DataFrame:
@@ -252,25 +287,40 @@ class KVTable:
         return self.scan(options=options).filter(F.startswith("key", F.lit(prefix)))
 
     def new_iterator(self, options: ReadOptions | None = None, page: int = 1000) -> Cursor:
-        """A cursor over the state as it is now, unpositioned."""
-        rows = self.log()
+        """A cursor over the state as it is now, unpositioned. It pins the version and its files until it is closed, or its pin runs out."""
+        with self.lock:
+            rows, pin = self.log(), self._pin(self._seq(options), self.state.version)
         if options is not None and not options.fill_cache:
             page = min(page, 100)
-        return Cursor(rows, self._seq(options), self.options.key_order.encode, page)
+        return Cursor(rows, self._seq(options), self.options.key_order.encode, page, lambda: self._unpin(pin))
 
     def get_snapshot(self) -> Snapshot:
+        """Pins what can be read now, in the table's folder, so that every process that compacts sees it."""
         with self.lock:
-            self.pins[self.state.last_seq] += 1
-            return Snapshot(self, self.state.last_seq)
+            seq = self.state.last_seq
+            return Snapshot(self, seq, self._pin(seq, None))
 
-    def _unpin(self, seq: int) -> None:
+    def _pin(self, seq: int, version: int | None) -> str:
+        name, pin = uuid.uuid4().hex, {"seq": seq, "version": version, "until": time.time() + self.options.pin_seconds}
+        self.pins[name] = pin
+        if self.files:
+            self.files.create(f"{PINS}/{name}.json", json.dumps(pin).encode())
+        return name
+
+    def _unpin(self, name: str) -> None:
         with self.lock:
-            self.pins[seq] -= 1
-            if self.pins[seq] <= 0:
-                del self.pins[seq]
+            if self.pins.pop(name, None) is not None and self.files:
+                self.files.delete(f"{PINS}/{name}.json")
+
+    def held(self) -> list[dict]:
+        """All pins that have not run out, of every process."""
+        if not self.files:
+            return list(self.pins.values())
+        found = [json.loads(self.files.read(f"{PINS}/{n}")) for n in self.files.names(PINS) if n.endswith(".json") and not n.startswith(".")]
+        return [p for p in found if p["until"] > time.time()]
 
     def oldest_pinned(self) -> int:
-        return min(self.pins, default=self.state.last_seq)
+        return min((p["seq"] for p in self.held()), default=self.state.last_seq)
 
     # -- maintenance -----------------------------------------------------------------
 
@@ -300,9 +350,8 @@ class KVTable:
             self._publish(replace(self.state.with_files([moved], {moved.number}), pointers=self.state.pointers | {plan.level: plan.pointer}))
             return
         number, oldest = self._numbers(1), self.oldest_pinned()
-        ranges = planner.deeper_ranges([*self.state.files, *(replace(d, level=LEVELS) for d in self.state.deltas)], plan)
-        deeper = self.spark.createDataFrame(ranges, "smallest binary, largest binary") if ranges else None
-        rows = job.compact(self._read(plan.all_inputs), oldest, deeper, self.options.compaction_filter, bool(self.pins), BY_SORT_KEY)
+        deeper = planner.deeper_ranges([*self.state.files, *(replace(d, level=LEVELS) for d in self.state.deltas)], plan)
+        rows = job.compact(self._read(plan.all_inputs), oldest, deeper, self.options.compaction_filter, bool(self.held()), BY_SORT_KEY)
         parts = max(1, -(-sum(f.bytes for f in plan.all_inputs) // self.options.max_file_size))
         added = self._write_level(rows.select(STORED.names), number, plan.level + 1, parts)
         state = self.state.with_files(added, {f.number for f in plan.all_inputs})
@@ -338,14 +387,32 @@ class KVTable:
         return planner.Debt(list(self.state.files))
 
     def vacuum(self) -> list[str]:
-        """Removes data that no commit still needs. Cursors and scans made before hold their file lists, so pins keep everything."""
-        if not self.files or self.pins:
+        """Removes data that neither the state nor a pinned version needs, once it has been out of use for ``retention_seconds``.
+
+        So a scan that was made before a flush or compaction can still run for that long, and a cursor as long as its pin holds.
+        Files that no commit has ever named are left: another writer may be about to commit them.
+        """
+        if not self.files:
             return []
-        live = {f.path.rpartition("/")[0].rpartition("/")[2] for f in (*self.state.files, *self.state.deltas)} | {f.path.rpartition("/")[2] for f in (*self.state.files, *self.state.deltas)}
-        gone = [n for n in self.files.names(DATA) if (m := parse_name(n)) and m[0] in ("table", "delta", "temp") and n not in live and m[1] not in self.state.pending]
-        for name in gone:
-            self.files.delete(f"{DATA}/{name}")
-        self.manifest.prune()
+        pinned = {p["version"] for p in self.held() if p["version"] is not None}
+        live = _names(self.state).union(*(_names(self.manifest.read(v)) for v in pinned if v in self.manifest.versions()))
+        gone = []
+        for mark in self.files.names(DROPPED):
+            if not mark.endswith(".json") or mark.startswith("."):
+                continue
+            entry = json.loads(self.files.read(f"{DROPPED}/{mark}"))
+            if entry["at"] + self.options.retention_seconds > time.time():
+                continue
+            free = [n for n in entry["names"] if n not in live]
+            for name in free:
+                self.files.delete(f"{DATA}/{name}")
+            gone += free
+            if len(free) == len(entry["names"]):
+                self.files.delete(f"{DROPPED}/{mark}")
+        for name in self.files.names(PINS):
+            if name.endswith(".json") and not name.startswith(".") and json.loads(self.files.read(f"{PINS}/{name}"))["until"] <= time.time():
+                self.files.delete(f"{PINS}/{name}")
+        self.manifest.prune(pinned)
         return gone
 
     # -- introspection ---------------------------------------------------------------
@@ -409,13 +476,24 @@ class KVTable:
     def repair(spark: SparkSession, path: str, options: Options | None = None) -> list[str]:
         """Makes a new commit from the data files that can be read; the others go to ``lost``. Returns their names.
 
-        All files become level 0; reads resolve by sequence number, so their order does not matter.
+        Write-ahead logs (``.log``) among them are read as well. All files become level 0; reads resolve by sequence number, so
+        their order does not matter. Files that a commit has put out of use are left out, or what they hold would come back.
         """
         table = KVTable(spark, path, options or Options())
-        metas, lost = [], []
+        metas, lost, dropped = [], [], set()
+        for mark in table.files.names(DROPPED):
+            if mark.endswith(".json") and not mark.startswith("."):
+                dropped |= set(json.loads(table.files.read(f"{DROPPED}/{mark}"))["names"])
         for name in table.files.names(DATA):
             kind = parse_name(name)
-            if not kind or kind[0] not in ("table", "delta"):
+            if not kind or kind[0] not in ("table", "delta", "wal") or name in dropped:
+                continue
+            if kind[0] == "wal":
+                rows = read_logs(spark, table.files.uri(f"{DATA}/{name}"), verify=True).withColumn("sort_key", table.options.key_order.column(F.col("key")))
+                if not rows.isEmpty():
+                    metas += table._write_level(rows.select(STORED.names), table._numbers(1), 0, 1)
+                table.files.make(LOST)
+                table.files.move(f"{DATA}/{name}", f"{LOST}/{name}")
                 continue
             parts = [f"{DATA}/{name}"] if kind[0] == "delta" else [f"{DATA}/{name}/{p}" for p in table.files.names(f"{DATA}/{name}") if p.endswith(".parquet")]
             for i, part in enumerate(parts):

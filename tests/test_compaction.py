@@ -27,8 +27,17 @@ def test_prune_and_reads_after_it(spark, seed, oldest):
 
 def test_deletes_stay_above_deeper_files(spark):
     log = spark.createDataFrame([(b"a", 2, 0, None), (b"m", 3, 0, None), (b"z", 9, 0, None)], LOG)
-    deeper = spark.createDataFrame([(b"l", b"n")], "smallest binary, largest binary")
+    deeper = [(b"l", b"n")]
     assert [r[0] for r in tuples(compaction.compact(log, 5, deeper))] == [b"m", b"z"]
+    many = [(b"l%03d" % i, b"l%03d" % i) for i in range(100)] + [(b"l5", b"m"), (b"ma", b"n"), (b"y", b"z")]
+    assert compaction.merged(many)[-3:] == [(b"l5", b"m"), (b"ma", b"n"), (b"y", b"z")]
+    assert [r[0] for r in tuples(compaction.compact(log, 5, many))] == [b"m", b"z"]
+    assert compaction.merged([(b"b", b"d"), (b"a", b"b"), (b"c", b"e")]) == [(b"a", b"e")]
+
+
+def test_prune_has_one_shuffle_and_no_join(spark):
+    plan = compaction.prune(spark.createDataFrame([(b"a", 2, 0, None)], LOG), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
 
 
 ROWS = [(b"drop_1", 1, 1, b"bye"), (b"drop_1", 4, 1, b"again"), (b"keep_1", 2, 1, b"hi"), (b"gone", 3, 0, None)]

@@ -9,6 +9,7 @@ from kvspark.functions.keys import CASELESS, REVERSE
 from kvspark.operators.batch import WriteBatch, check_batch
 from kvspark.operators.compaction import CompactionFilter
 from kvspark.sources.files import Files
+from kvspark.sources.logfile import LogWriter
 from kvspark.sources.manifest import State, parse_name
 from kvspark.sources.options import Options, ReadOptions
 from kvspark.sources.table import KVTable
@@ -223,3 +224,87 @@ def test_command_line(spark, tmp_path, capsys):
     run = lambda *args: main(["--dir", str(tmp_path / "t"), *args], spark)
     assert run("put", "k", "v") == 0 and run("get", "k") == 0 and capsys.readouterr().out == "v\n"
     assert run("flush") == run("compact") == run("delete", "k") == 0 and run("get", "k") == 1
+
+
+def test_cursors_and_scans_outlive_maintenance(spark, tmp_path):
+    table = KVTable.open(spark, str(tmp_path / "t"), Options(create_if_missing=True, retention_seconds=0, write_buffer_size=1 << 30))
+    lasting = KVTable.open(spark, str(tmp_path / "t"))
+    for i in range(6):
+        table.put(b"k%d" % i, b"old")
+    cursor = table.new_iterator(page=2)
+    cursor.seek_to_first()
+    seen = [cursor.key()]
+    for step in range(5):
+        table.write(WriteBatch().put(b"k%d" % step, b"new").delete(b"k5").put(b"k%da" % step, b"x"))
+        table.flush()
+        if step % 2:
+            table.compact_range()
+        cursor.next()
+        seen.append((cursor.key(), cursor.value()))
+    assert seen == [b"k0", *[(b"k%d" % i, b"old") for i in range(1, 6)]]
+    assert lasting.state.version < table.state.version and len(table.files.names("pins")) == 1
+    cursor.close()
+    assert table.vacuum() and table.held() == [] and not cursor.valid()
+    names = {n for n in table.files.names("data")}
+    assert all(any(n in f.path for f in table.state.files) for n in names)
+    kept = KVTable.open(spark, str(tmp_path / "t"))  # files that it stops using stay for a while
+    before = kept.scan()
+    kept.put(b"k0", b"newest")
+    kept.flush()
+    kept.compact_range()
+    assert dict((bytes(r.key), bytes(r.value)) for r in before.collect())[b"k0"] == b"new" and kept.get(b"k0") == b"newest"
+
+
+def test_pins_of_other_processes_hold(spark, tmp_path):
+    path = str(tmp_path / "t")
+    one = KVTable.open(spark, path, NEW)
+    one.put(b"k", b"old")
+    snap = one.get_snapshot()
+    two = KVTable.open(spark, path)
+    two.put(b"k", b"new")
+    assert two.oldest_pinned() == snap.seq
+    two.flush()
+    two.compact_range()
+    assert two.log().count() == 2
+    assert KVTable.open(spark, path).get(b"k", ReadOptions(snapshot=snap)) == b"old"
+    snap.release()
+    snap.release()
+    assert two.oldest_pinned() == two.state.last_seq
+    short = KVTable.open(spark, path, Options(pin_seconds=-1))
+    short.get_snapshot()
+    assert two.held() == [] and two.files.names("pins")
+    two.vacuum()
+    assert two.files.names("pins") == []
+
+
+def test_groups_and_back_pressure(spark, tmp_path):
+    table = KVTable.open(spark, str(tmp_path / "t"), NEW)
+    assert table.write_group([WriteBatch().put(b"a", b"1"), WriteBatch(), WriteBatch().delete(b"a").put(b"b", b"2")]) == [1, 1, 3]
+    assert contents(table) == [(b"b", b"2")] and len(table.state.deltas) == 1
+    for i in range(16):
+        table.put(b"a", b"%d" % i)
+        table.put(b"z", b"%d" % i)
+        table.flush()
+        if table.debt().advice == "stop":
+            break
+    else:
+        raise AssertionError("level 0 never filled")
+    table.put(b"m", b"m")
+    assert table.debt().advice == "go" and table.get(b"z") == b"%d" % i
+
+
+def test_repair_leaves_out_what_is_out_of_use_and_reads_logs(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table = KVTable.open(spark, path, NEW)
+    table.put(b"gone", b"x")
+    table.flush()
+    table.delete(b"gone")
+    table.put(b"stays", b"y")
+    table.flush()
+    table.compact_range()
+    with LogWriter(spark, f"{path}/data", first=77) as writer:
+        assert writer.add(WriteBatch().put(b"from_log", b"z").delete(b"nothing"), table.state.last_seq + 1) == 5
+    Files(spark, path).delete("manifest")
+    KVTable.repair(spark, path)
+    again = KVTable.open(spark, path)
+    assert contents(again) == [(b"from_log", b"z"), (b"stays", b"y")] and again.state.last_seq == 5
