@@ -4,9 +4,9 @@ Merges never cross the units between spaces, so texts are encoded unit by unit.
 holds the merges that are possible, best first; one that a keyed hash picks is skipped.
 The key is the seed, the document, the place of the unit in it, and the candidate: where in
 the unit it starts, where its two parts meet, and the piece that it would make. So every candidate of every
-occurrence has a draw of its own. A worker keeps what follows from draws, not draws: the candidates that
-a unit meets if none is skipped, and from there what follows if a given one is. Draws are made for many units at a time. Without
-dropout the result is the library's, which reads a literal U+2581 as a space; with it,
+occurrence has a draw of its own. Short units are taken many at a time: the agenda of each is a column of arrays, and every step
+draws and merges the best candidate of all of them. Long units have a heap each. Nothing is kept between units, so memory is bounded.
+Without dropout the result is the library's, which reads a literal U+2581 as a space; with it,
 that mark is spelled in bytes, so every text comes back as it was.
 """
 
@@ -15,8 +15,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import struct
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +25,16 @@ from pyspark.sql import functions as F
 
 from kvspark.llm.words import mix, per_worker
 
-#: Outcomes (a unit and what is skipped in it) that a worker keeps.
-CACHE = 600_000
-#: Units whose draws are made together, and characters of text that are taken together.
-TOGETHER, CHARS = 1 << 16, 1 << 20
-#: Longest unit, in characters, whose agenda is a plain list of ranks and whose outcomes are kept; longer ones have a heap.
-SHORT = 48
+#: Units whose agendas are worked off together, and characters of text that are taken together.
+TOGETHER, CHARS = 1 << 14, 1 << 20
+#: Longest unit, in characters, of each group of short ones; longer ones have a heap.
+SIZES = (4, 7, 10, 14, 20, 30, 48)
 _MASK = (1 << 64) - 1
 _START, _SPLIT, _PIECE, _UNIT = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93
+_SLOTS, _SLOT = 20, 0x9E3779B97F4A7C15
+_PLACE, _NEVER = 6, np.int32((1 << 31) - 1)
 UNIT = re.compile(r" *[^ \n]+|\n| +")
+MARK = "\u2581"
 
 
 class Pieces:
@@ -60,8 +59,7 @@ class Pieces:
 
         ``key`` is that of the unit's occurrence, ``at`` the place of ``unit`` in it.
         """
-        limit, keyed = int(dropout * 2**64), (key + at * _START) & _MASK
-        return self.ids_of(self._by_list(unit, limit, keyed) if len(unit) <= SHORT else self._by_heap(unit, limit, keyed))
+        return self.ids_of(self._by_heap(unit, int(dropout * 2**64), (key + at * _START) & _MASK))
 
     def ids_of(self, parts: list[str]) -> list[int]:
         out: list[int] = []
@@ -80,52 +78,6 @@ class Pieces:
         x = (x ^ x >> 27) * 0x94D049BB133111EB & _MASK
         return x ^ x >> 31 < limit
 
-    def _by_list(self, unit: str, limit: int, keyed: int) -> list[str]:
-        ranks, never = self.ranks, 1 << 60
-        parts, starts = list(unit), list(range(len(unit)))
-        agenda = [ranks.get(a + b, never) for a, b in zip(unit, unit[1:], strict=False)]
-        while agenda:
-            best = min(agenda)
-            if best == never:
-                break
-            k = agenda.index(best)
-            joined = parts[k] + parts[k + 1]
-            if limit and self._skipped(keyed, starts[k], len(parts[k]), joined, limit):
-                agenda[k] = never
-                continue
-            parts[k] = joined
-            del parts[k + 1], starts[k + 1], agenda[k]
-            if k:
-                agenda[k - 1] = ranks.get(parts[k - 1] + joined, never)
-            if k < len(agenda):
-                agenda[k] = ranks.get(joined + parts[k + 1], never)
-        return parts
-
-    def follow(self, unit: str, skipped: tuple[int, ...]) -> tuple[list[int], list[str]]:
-        """The codes of all candidates that a unit meets if exactly those in ``skipped`` are skipped, in their order, and the parts that remain."""
-        ranks, ids, never = self.ranks, self.ids, 1 << 60
-        parts, starts, codes = list(unit), list(range(len(unit))), []
-        agenda = [ranks.get(a + b, never) for a, b in zip(unit, unit[1:], strict=False)]
-        while agenda:
-            best = min(agenda)
-            if best == never:
-                break
-            k = agenda.index(best)
-            left = parts[k]
-            joined = left + parts[k + 1]
-            code = (starts[k] * _START + len(left) * _SPLIT + ids[joined] * _PIECE) & _MASK
-            codes.append(code)
-            if code in skipped:
-                agenda[k] = never
-                continue
-            parts[k] = joined
-            del parts[k + 1], starts[k + 1], agenda[k]
-            if k:
-                agenda[k - 1] = ranks.get(parts[k - 1] + joined, never)
-            if k < len(agenda):
-                agenda[k] = ranks.get(joined + parts[k + 1], never)
-        return codes, parts
-
     def _by_heap(self, unit: str, limit: int, keyed: int) -> list[str]:
         parts: list[str | None] = list(unit)
         n = len(parts)
@@ -161,127 +113,188 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-class Roots(dict):
-    """Unit to the number of its outcome without skips."""
-
-    def __init__(self, tree: Outcomes):
-        super().__init__()
-        self.tree = tree
-
-    def __missing__(self, unit: str) -> int:
-        self[unit] = number = self.tree.add(unit, (), 0)
-        return number
-
-
-class Children(dict):
-    """``outcome << 8 | k`` to the outcome if, of the candidates that follow, the k-th is skipped and no other after it."""
-
-    def __init__(self, tree: Outcomes):
-        super().__init__()
-        self.tree = tree
-
-    def __missing__(self, at: int) -> int:
-        tree, parent, k = self.tree, at >> 8, at & 255
-        unit, skipped, before = tree.made[parent]
-        code = tree.codes[tree.begin[parent] + k]
-        self[at] = number = tree.add(unit, (*skipped, code), before + k + 1)
-        return number
-
-
-class Outcomes:
-    """Outcomes of units, numbered: the candidates still to be drawn, and the bytes of the ids (four each) if none of them is skipped.
-
-    Each follows from the unit and the skips alone, so what is forgotten is found again the same.
-    """
-
-    #: The outcome of units that are not kept.
-    LONG = 0
+class Agendas:
+    """The merges of many short units at a time, on arrays. Symbols are piece ids, further numbers for characters that only occur inside pieces, or -1."""
 
     def __init__(self, pieces: Pieces, dropout: float):
-        self.pieces, self.dropout, self.limit = pieces, dropout, int(dropout * 2**64)
-        self.clear()
-
-    def clear(self) -> None:
-        self.roots, self.children = Roots(self), Children(self)
-        self.codes, self.begin, self.size = array("Q"), array("q", [0]), array("q", [0])
-        self.made, self.packed = [("", (), 0)], [b""]
-
-    def add(self, unit: str, skipped: tuple[int, ...], before: int) -> int:
-        if len(unit) > SHORT or (self.dropout and "\u2581" in unit):
-            return self.LONG
-        codes, parts = self.pieces.follow(unit.replace(" ", "\u2581"), skipped)
-        ids = self.pieces.ids_of(parts)
-        self.begin.append(len(self.codes))
-        self.size.append(len(codes) - before)
-        self.codes.extend(codes[before:])
-        self.made.append((unit, skipped, before))
-        self.packed.append(struct.pack(f"<{len(ids)}i", *ids))
-        return len(self.packed) - 1
-
-    def alone(self, unit: str, key: int) -> bytes:
-        """The bytes of a unit that is not kept."""
-        model, text = self.pieces, unit.replace(" ", "\u2581")
-        if not self.dropout or "\u2581" not in unit:
-            ids = model.merge(text, self.dropout, key)
-        else:  # the mark itself would decode as a space; its bytes do not
-            ids, at = [], 0
-            for part in re.split("(\u2581)", unit):
-                ids += [model.byte_ids[b] for b in part.encode()] if part == "\u2581" else model.merge(part.replace(" ", "\u2581"), self.dropout, key, at)
-                at += len(part)
-        return struct.pack(f"<{len(ids)}i", *ids)
-
-    def draw(self, units: list[str], keys: np.ndarray) -> list[bytes]:
-        """The bytes of each unit; ``keys`` are those of the occurrences."""
-        if len(self.packed) > CACHE:
-            self.clear()
-        nodes = np.fromiter(map(self.roots.__getitem__, units), np.int64, len(units))
-        long = np.flatnonzero(nodes == self.LONG).tolist()
-        left = np.arange(len(units)) if self.limit else np.zeros(0, np.int64)
-        while len(left):  # each round finds the first skip of what is left, if there is one
-            at = nodes[left]
-            size, begin = np.frombuffer(self.size, np.int64)[at], np.frombuffer(self.begin, np.int64)[at]
-            low = np.cumsum(size) - size
-            if not len(self.codes) or not size.sum():
-                break
-            owner = np.repeat(np.arange(len(left)), size)
-            codes = np.frombuffer(self.codes, np.uint64)[np.arange(len(owner)) + (begin - low)[owner]]
-            hits = np.flatnonzero(mix(codes + keys[left][owner]) < np.uint64(self.limit))
-            who = owner[hits]
-            first = np.ones(len(who), bool)
-            first[1:] = who[1:] != who[:-1]
-            who, hits = who[first], hits[first]
-            steps = at[who] << 8 | hits - low[who]
-            left = left[who]
-            nodes[left] = np.fromiter(map(self.children.__getitem__, steps.tolist()), np.int64, len(steps))
-        out = list(map(self.packed.__getitem__, nodes.tolist()))
-        for k in long:
-            out[k] = self.alone(units[k], int(keys[k]))
+        self.limit = np.uint64(min(int(dropout * 2**64), _MASK))
+        n = len(pieces.strings)
+        letters = sorted({c for p in pieces.ids for c in p} - set(pieces.ids))
+        numbers = pieces.ids | {c: n + k for k, c in enumerate(letters)}
+        self.symbols = np.full(0x110000, -1, np.int32)
+        for c, number in numbers.items():
+            if len(c) == 1:
+                self.symbols[ord(c)] = number
+        self.symbols[ord(" ")] = self.symbols[ord(MARK)]
+        if dropout:  # the mark itself would decode as a space; its bytes do not
+            self.symbols[ord(MARK)] = -1
+        self.n = n
+        self.ranks = np.full(n + 1, 1 << (30 - _PLACE), np.int32)  # the last, which -1 finds, is of no piece
+        for p, i in pieces.ids.items():
+            self.ranks[i] = pieces.ranks[p]
+        # every way to make a piece of two parts, in open addressing
+        self.keys, self.made = np.zeros(1 << _SLOTS, np.uint64), np.full(1 << _SLOTS, -1, np.int32)
+        for p, i in pieces.ids.items():
+            for k in range(1, len(p)):
+                left, right = numbers.get(p[:k]), numbers.get(p[k:])
+                if left is not None and right is not None:
+                    key = (left + 1) << 32 | (right + 1)
+                    slot = (key * _SLOT & _MASK) >> (64 - _SLOTS)
+                    while self.keys[slot]:
+                        slot = (slot + 1) & ((1 << _SLOTS) - 1)
+                    self.keys[slot], self.made[slot] = key, i
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that two symbols make, or -1."""
+        key = (left + 1).astype(np.uint64) << np.uint64(32) | (right + 1).astype(np.uint64)
+        slot = (key * np.uint64(_SLOT) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        held = self.keys[slot]
+        out = np.where(held == key, self.made[slot], -1)
+        rest = np.flatnonzero((held != key) & (held != 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & ((1 << _SLOTS) - 1)
+            held = self.keys[slot[rest]]
+            hit = held == key[rest]
+            out[rest[hit]] = self.made[slot[rest[hit]]]
+            rest = rest[~hit & (held != 0)]
         return out
 
+    def merge(self, letters: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For units of up to as many letters as ``letters`` has rows, one a column: the symbols that remain, at the places where they start, and which places are dead (True)."""
+        height, width = letters.shape
+        place = np.arange(height, dtype=np.int32)[:, None]
+        inside = place < sizes
+        symbol = np.where(inside, self.symbols[letters], -1)
+        made = np.full((height + 1, width), -1, np.int32)
+        if height > 1:
+            both = inside[1:]
+            made[: height - 1][both] = self.joined(symbol[:-1][both], symbol[1:][both])
+        done, dead = symbol.copy(), ~inside
+        column = np.arange(width)
+        # a sentinel row below takes what falls off either end
+        symbol = np.concatenate([symbol, np.full((1, width), -1, np.int32)])
+        after = np.broadcast_to(np.minimum(place + 1, height), (height, width))
+        after = np.concatenate([np.where(place + 1 < sizes, after, height), np.full((1, width), height)]).astype(np.int32)
+        before = np.concatenate([np.broadcast_to(np.where(place > 0, place - 1, height), (height, width)), np.full((1, width), height)]).astype(np.int32)
+        order = np.where(made >= 0, self.ranks[made] << _PLACE | np.arange(height + 1, dtype=np.int32)[:, None], _NEVER)
+        gone = np.zeros((height + 1, width), bool)
+        symbol, made, after, before, order = map(np.ascontiguousarray, (symbol, made, after, before, order))  # flat views of them are written to
+        while True:
+            best = np.minimum.reduce(order, axis=0)
+            live = best != _NEVER
+            alive = int(np.count_nonzero(live))
+            if alive < 0.7 * len(column) or not alive:
+                over = np.flatnonzero(~live)
+                done[:, column[over]], dead[:, column[over]] = symbol[:-1, over], gone[:-1, over] | (dead[:, column[over]])
+                keep = np.flatnonzero(live)
+                if not len(keep):
+                    return done, dead
+                symbol, made, after, before, order, gone = (np.ascontiguousarray(x[:, keep]) for x in (symbol, made, after, before, order, gone))
+                column, best, live = column[keep], best[keep], live[keep]
+            width = len(column)
+            r = np.flatnonzero(live)
+            symbols, mades, afters, befores, orders = (x.reshape(-1) for x in (symbol, made, after, before, order))
+            start = (best[r] & ((1 << _PLACE) - 1)).astype(np.int64)
+            at = start * width + r
+            piece, second = mades[at], afters[at].astype(np.int64)
+            if self.limit:
+                code = start.astype(np.uint64) * np.uint64(_START) + (second - start).astype(np.uint64) * np.uint64(_SPLIT) + piece.astype(np.uint64) * np.uint64(_PIECE)
+                skip = mix(code + keys[column[r]]) < self.limit
+                orders[at[skip]] = _NEVER
+                stays = ~skip
+                r, start, at, piece, second = r[stays], start[stays], at[stays], piece[stays], second[stays]
+            old = second * width + r
+            symbols[at] = piece
+            gone.reshape(-1)[old] = True
+            orders[old] = _NEVER
+            third = afters[old].astype(np.int64)
+            afters[at] = third
+            third_at = third * width + r
+            befores[third_at] = start
+            first = befores[at].astype(np.int64)
+            first_at = first * width + r
+            right = self.joined(piece, symbols[third_at])
+            mades[at] = right
+            orders[at] = np.where(right >= 0, self.ranks[right] << _PLACE | start.astype(np.int32), _NEVER)
+            left = self.joined(symbols[first_at], piece)
+            mades[first_at] = left
+            orders[first_at] = np.where((left >= 0) & (first < height), self.ranks[left] << _PLACE | first.astype(np.int32), _NEVER)
+
 
 class Encoder:
     def __init__(self, path: str, dropout: float, seed: int):
-        self.pieces, self.seed = Pieces(path), seed
-        self.outcomes = Outcomes(self.pieces, dropout)
+        self.pieces, self.dropout, self.seed = Pieces(path), dropout, seed
+        self.agendas = Agendas(self.pieces, dropout)
+        self.bytes_of: dict[int, list[int]] = {}
 
     def encode(self, text: str, key: int) -> bytes:
         """Ids of a whole text, four bytes each. ``key`` is the document's."""
-        return self.encode_all([text], [key])[0]
-
-    def encode_all(self, texts: list[str], keys: list) -> list[bytes]:
-        units: list[str] = []
-        ends, occurrences = [], [np.zeros(0, np.uint64)]
+        return self.encode_all([text], [key])[0].tobytes()
+
+    def _alone(self, unit: str, key: int) -> list[int]:
+        """The ids of a long unit."""
+        if not self.dropout or MARK not in unit:
+            return self.pieces.merge(unit.replace(" ", MARK), self.dropout, key)
+        ids, at = [], 0
+        for part in re.split(f"({MARK})", unit):
+            ids += [self.pieces.byte_ids[b] for b in part.encode()] if part == MARK else self.pieces.merge(part.replace(" ", MARK), self.dropout, key, at)
+            at += len(part)
+        return ids
+
+    def _spelled(self, code: int) -> list[int]:
+        return [self.pieces.byte_ids[b] for b in (MARK if code == 32 else chr(code)).encode()]
+
+    def encode_all(self, texts: list[str], keys: list) -> list[np.ndarray]:
+        """The ids of each text."""
+        joined = "".join(" " + t for t in texts if t)
+        letters = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes, counts, occurrences = [], [], [np.zeros(0, np.uint64)]
         for text, key in zip(texts, keys, strict=True):
-            own = UNIT.findall(" " + text) if text else []
-            units += own
-            ends.append(len(units))
+            own = list(map(len, UNIT.findall(" " + text))) if text else []
+            sizes += own
+            counts.append(len(own))
             document = np.uint64(xxhash.xxh64_intdigest(str(key), self.seed))
             occurrences.append(mix(np.arange(len(own), dtype=np.uint64) * np.uint64(_UNIT) + document))
-        drawn = np.concatenate(occurrences)
-        packed: list[bytes] = []
-        for k in range(0, len(units), TOGETHER):
-            packed += self.outcomes.draw(units[k : k + TOGETHER], drawn[k : k + TOGETHER])
-        return [b"".join(packed[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        size, drawn = np.array(sizes, np.int64), np.concatenate(occurrences)
+        begin = np.cumsum(size) - size
+        # what remains at each letter's place: a symbol, or nothing
+        symbols, dead = np.full(len(letters), -1, np.int32), np.zeros(len(letters), bool)
+        smaller = 0
+        for height in SIZES:
+            group = np.flatnonzero((size > smaller) & (size <= height))
+            smaller = height
+            for k in range(0, len(group), TOGETHER):
+                some = group[k : k + TOGETHER]
+                place = begin[some] + np.arange(height)[:, None]
+                inside = np.arange(height)[:, None] < size[some]
+                done, gone = self.agendas.merge(letters[np.minimum(place, len(letters) - 1)], size[some], drawn[some])
+                symbols[place[inside]], dead[place[inside]] = done[inside], gone[inside]
+        long: dict[int, list[int]] = {}
+        for k in np.flatnonzero(size > SIZES[-1]).tolist():
+            a, b = int(begin[k]), int(begin[k] + size[k])
+            long[a] = self._alone(joined[a:b], int(drawn[k]))
+            dead[a + 1 : b] = True
+        # each place that is left gives one id, or the bytes of its letter, or a long unit
+        alive = np.flatnonzero(~dead)
+        ids, wide = symbols[alive], np.ones(len(alive), np.int64)
+        odd = np.flatnonzero((ids < 0) | (ids >= self.agendas.n))
+        spelled = []
+        for k, a in zip(odd.tolist(), alive[odd].tolist(), strict=True):
+            found = long.get(a)
+            if found is None:
+                code = int(letters[a])
+                found = self.bytes_of.get(code)
+                if found is None:
+                    found = self.bytes_of[code] = self._spelled(code)
+            spelled.append(found)
+            wide[k] = len(found)
+        out = np.repeat(ids, wide)
+        starts = np.cumsum(wide) - wide
+        for k, found in zip(odd.tolist(), spelled, strict=True):
+            out[starts[k] : starts[k] + len(found)] = found
+        ends = np.cumsum([len(t) + 1 if t else 0 for t in texts])
+        upto = np.concatenate([[0], np.cumsum(wide)])[np.searchsorted(alive, ends)]
+        return [out[a:b] for a, b in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
 
 
 def parts(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -304,22 +317,22 @@ def encode(df: DataFrame, path: str, dropout: float = 0.1, seed: int = 7, id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_worker(("pieces", path, dropout, seed), lambda: Encoder(path, dropout, seed))
         for batch in batches:
-            rows = []
-            numbers, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in parts(texts):
-                encoded = encoder.encode_all(texts[a:b], ["" if i is None else i for i in numbers[a:b]])
-                for i, text, packed in zip(numbers[a:b], texts[a:b], encoded, strict=True):
-                    ids = np.frombuffer(packed, np.int32)
-                    row = (i, len(ids), hashlib.sha256(packed).hexdigest(), encoder.pieces.decode(ids.tolist()) == text)
-                    rows.append((*row, ids) if with_ids else row)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+            numbers, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in parts(texts):  # a part's rows go on before the next is encoded
+                encoded = encoder.encode_all(texts[a:b], ["" if i is None else i for i in numbers[a : b].to_pylist()])
+                columns = [
+                    numbers[a:b],
+                    pa.array([len(ids) for ids in encoded], pa.int64()),
+                    pa.array([hashlib.sha256(ids).hexdigest() for ids in encoded], pa.string()),
+                    pa.array([encoder.pieces.decode(ids.tolist()) == text for ids, text in zip(encoded, texts[a:b], strict=True)], pa.bool_()),
+                ]
+                if with_ids:
+                    columns.append(pa.array(encoded, pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    from pyspark.sql.pandas.types import to_arrow_type
-
     names = ["doc_id", "n_tokens", "ids_sha256", "lossless", "ids"][: 4 + with_ids]
-    kinds = [to_arrow_type(rows.schema["doc_id"].dataType), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32())][: 4 + with_ids]
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, lossless boolean" + ", ids array<int>" * with_ids)
 
 

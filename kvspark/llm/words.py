@@ -45,13 +45,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def per_worker(key, make):
-    """What ``make`` returns, kept for all tasks of one Python worker (functions arrive by value, so their globals are not)."""
+    """What ``make`` returns, kept for all tasks of one Python worker (functions arrive by value, so their globals are not).
+
+    A worker keeps what it used last and before that; it outlives a stage, so what other operators kept would add up.
+    """
     import sys
 
     kept = sys.__dict__.setdefault("_kvspark_per_worker", {})
     if key not in kept:
         kept[key] = make()
-    return kept[key]
+    kept[key] = found = kept.pop(key)
+    while len(kept) > 2:
+        del kept[next(iter(kept))]
+    return found
 
 
 def bit_table(hashes: DataFrame) -> np.ndarray:

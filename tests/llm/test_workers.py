@@ -145,16 +145,50 @@ def test_pieces_are_the_librarys_without_dropout():
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     encoder = pieces.Encoder(path, 0.0, 1)
     for text in filter(None, EDGE):
-        assert np.frombuffer(encoder.encode(text, 0), np.int32).tolist() == library.encode(text), text
-
-
-def test_both_agendas_agree():
-    model, r = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model")), random.Random(6)
-    for n in (1, 2, 5, 20, 47):
-        for _ in range(40):
-            unit = "\u2581" + "".join(r.choice("etaoinshrdlu\u2581é") for _ in range(n))
-            for limit in (0, 1 << 62, 1 << 63):
-                assert model._by_list(unit, limit, 12345 + n) == model._by_heap(unit, limit, 12345 + n)
+        assert encoder.encode_all([text], [0])[0].tolist() == library.encode(text), text
+
+
+def naive_merge(model, unit, dropout, key):
+    """One agenda, written out: all neighbours, the best rank first, then the leftmost; a candidate that its draw skips does not come again until a side changes."""
+    parts, skipped = [(i, c) for i, c in enumerate(unit)], set()
+    while True:
+        found = []
+        for (i, a), (j, b) in zip(parts, parts[1:]):
+            if a + b in model.ranks and (i, len(a), a + b) not in skipped:
+                found.append((model.ranks[a + b], i, j, a + b, len(a)))
+        if not found:
+            break
+        _, i, j, joined, split = min(found)
+        x = (key + i * 0x9E3779B97F4A7C15 + split * 0xC2B2AE3D27D4EB4F + model.ids[joined] * 0x165667B19E3779F9) % 2**64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        if x ^ x >> 31 < int(dropout * 2**64):
+            skipped.add((i, split, joined))
+            continue
+        parts = [(k, joined if k == i else p) for k, p in parts if k != j]
+    return [x for _, p in parts for x in ([model.ids[p]] if p in model.ids else [model.byte_ids[b] for b in p.encode()])]
+
+
+def test_agendas_agree_with_a_naive_one():
+    path, r = public_tokenizers.path("piece_bpe_32k.model"), random.Random(6)
+    for dropout in (0.0, 0.1, 0.5, 0.9):
+        encoder = pieces.Encoder(path, dropout, 3)
+        words = ["".join(r.choice("etaoinshrdlué日x☃ ") for _ in range(n)) for n in (1, 2, 3, 5, 8, 13, 20, 40, 48, 49, 90) for _ in range(12)]
+        texts = [" ".join(words), "international organisations of the world", "\n\n a  b ", "", "th" * 24, "naïve\u2581word \u2581", "x"]
+        got = encoder.encode_all(texts, range(len(texts)))
+        for number, (text, ids) in enumerate(zip(texts, got, strict=True)):
+            want = []
+            units = pieces.UNIT.findall(" " + text) if text else []
+            keys = pieces.mix(np.arange(len(units), dtype=np.uint64) * np.uint64(pieces._UNIT) + np.uint64(xxhash.xxh64_intdigest(str(number), 3))).tolist()
+            for unit, key in zip(units, keys, strict=True):
+                if dropout and "\u2581" in unit:
+                    at = 0
+                    for part in re.split("(\u2581)", unit):
+                        want += [encoder.pieces.byte_ids[b] for b in part.encode()] if part == "\u2581" else naive_merge(encoder.pieces, part.replace(" ", "\u2581"), dropout, key + at * pieces._START)
+                        at += len(part)
+                else:
+                    want += naive_merge(encoder.pieces, unit.replace(" ", "\u2581"), dropout, key)
+            assert ids.tolist() == want, (dropout, text[:50])
 
 
 def test_pieces_with_dropout(spark):
@@ -174,21 +208,19 @@ def test_pieces_with_dropout(spark):
 
 def test_each_candidate_draws_on_its_own():
     path, text = public_tokenizers.path("piece_bpe_32k.model"), "international " * 3000
-    encoder, dropout = pieces.Encoder(path, 0.1, 7), 0.1
-    units = pieces.UNIT.findall(" " + text)
-    keys = pieces.mix(np.arange(len(units), dtype=np.uint64) * np.uint64(pieces._UNIT) + np.uint64(pieces.xxhash.xxh64_intdigest("5", 7)))
-    drawn = encoder.outcomes.draw(units, keys)
-    assert b"".join(drawn) == encoder.encode(text, 5) and encoder.encode(text, 5) != encoder.encode(text, 6)
-    assert len(set(drawn)) > 30  # three before
-    for unit, key, packed in zip(units, keys.tolist(), drawn, strict=True):  # what is kept gives what a plain agenda gives
-        assert np.frombuffer(packed, np.int32).tolist() == encoder.pieces.merge(unit.replace(" ", "\u2581"), dropout, key)
-    ids, counts = encoder.pieces.ids, []
-    assert "th" in ids
-    for unit in ("th" * 20, "th" * 200):  # equal candidates in one unit, by either agenda
+    encoder = pieces.Encoder(path, 0.1, 7)
+    ids = encoder.encode_all([text], [5])[0].tolist()
+    assert encoder.encode(text, 5) != encoder.encode(text, 6)
+    starts = [k for k, i in enumerate(ids) if encoder.pieces.strings[i].startswith("\u2581")]
+    assert len({tuple(ids[a:b]) for a, b in zip(starts, starts[1:])}) > 30  # ways to cut one word
+    names, counts = encoder.pieces.ids, []
+    assert "th" in names
+    for unit in ("th" * 20, "th" * 200):  # equal candidates in one unit, short or long
+        half = pieces.Encoder(path, 0.5, 7)
         for key in range(50):
-            merged = encoder.pieces.merge(unit, 0.5, key << 40)
-            counts.append(sum(i == ids["t"] for i in merged) * 40 / len(unit))
-    assert 4 < sum(counts) / len(counts) < 16 and sum(0 < c < 20 for c in counts) > 90  # all or none before
+            merged = half.encode_all([unit], [key])[0].tolist()
+            counts.append(sum(i == names["t"] for i in merged) * 40 / len(unit))
+    assert 4 < sum(counts) / len(counts) < 16 and sum(0 < c < 20 for c in counts) > 90
 
 
 ITEMS = [(1, "the quick brown fox jumps over the lazy dog while nine wizards quietly mix seven odd potions tonight"), (2, "short one"), (3, None)]
