@@ -1,12 +1,12 @@
 """Benchmark decontamination by seeds.
 
 A seed is a fixed mask over up to ``SPAN`` neighbouring tokens; positions that it ignores may
-differ. The masks' hashes of all benchmark items are a lookup table; documents are
-scanned against it, and each hit fixes a diagonal between a document and an item. Along
-the diagonal the best stretch is found that tolerates substitutions, and
+differ. The masks' hashes of all benchmark items are joined with those of the documents, and each hit fixes a
+diagonal between a document and an item. A table of bits of fixed size keeps hashes that no item has from the join.
+Along the diagonal the best stretch is found that tolerates substitutions, and
 reported if it is long enough. Besides the fixed masks, each item has a run of equal tokens as a
 mask that is short enough for any overlap that the rule accepts (``run_length``), so none is missed.
-Scripts without spaces are cut into characters.
+Scripts without spaces are cut into characters. Neither the benchmark nor the hits go to the driver.
 """
 
 import math
@@ -15,12 +15,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvspark.llm.words import WordIds, mix, per_worker
+from kvspark.llm.base import checkpoint, fresh
+from kvspark.llm.words import WordIds, bit_table, in_table, mix, per_worker
 
 # Masks of one span; 1 is a token that counts, 0 one that may differ.
 MASKS = ("11111111", "110101101011", "111001011001", "101100110111")
@@ -32,13 +33,15 @@ TOKEN = re.compile(rf"[^\W{_UNSPACED}]+|(?=\w)[{_UNSPACED}]")
 
 @dataclass(frozen=True)
 class Overlap:
-    """min_tokens: equal tokens that an overlap needs (the item's own length if it is shorter). max_subs: share of
-    positions in it that may differ. block_tokens: benchmark tokens that are sent to all tasks at a time; a larger
-    benchmark takes several passes over the documents."""
+    """min_tokens: equal tokens that an overlap needs (the item's own length, less what may differ, if that is shorter). max_subs: share of
+    positions in it that may differ."""
 
     min_tokens: int = 13
     max_subs: float = 0.2
-    block_tokens: int = 1_000_000
+
+
+#: Digests that are broadcast at most; more are joined by a shuffle.
+SENT = 200_000
 
 
 def tokens(text: str | None, ids: WordIds) -> np.ndarray:
@@ -46,11 +49,11 @@ def tokens(text: str | None, ids: WordIds) -> np.ndarray:
 
 
 def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
-    """The mask's hash at each position where it fits whole."""
+    """The mask's hash at each position where it fits whole; equal for equal tokens under the same mask only."""
     n = len(words) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, len(mask), np.uint64)
+    out = np.full(n, xxhash.xxh64_intdigest(mask), np.uint64)
     for k, bit in enumerate(mask):
         if bit == "1":
             out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
@@ -74,50 +77,6 @@ def run_length(n: int, rule: Overlap) -> int:
     return max(1, min(runs, default=1))
 
 
-class Index:
-    """Seed hashes of one block of items, sorted, with a bit table in front."""
-
-    def __init__(self, items: list[tuple[int, str]], rule: Overlap | None = None):
-        ids = WordIds()
-        self.items = [(i, tokens(t, ids)) for i, t in items]
-        self.tables = []
-        runs = [run_length(len(w), rule or Overlap()) for _, w in self.items]
-        masks = [*MASKS, *("1" * k for k in sorted(set(runs)) if "1" * k not in MASKS)]
-        for mask in masks:
-            # the fixed masks hold all items, a run those that need it
-            hashes = [seed_hashes(w, mask) if mask in MASKS or len(mask) == k else np.zeros(0, np.uint64) for (_, w), k in zip(self.items, runs, strict=True)]
-            which = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-            at = np.concatenate([np.arange(len(h)) for h in hashes] or [np.zeros(0, int)])
-            flat = np.concatenate(hashes or [np.zeros(0, np.uint64)])
-            order = np.argsort(flat, kind="stable")
-            bits = np.zeros(1 << 22, bool)
-            bits[(flat & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-            self.tables.append((mask, flat[order], which[order], at[order], np.packbits(bits)))
-
-    def diagonals(self, words: np.ndarray) -> dict[tuple[int, int], int]:
-        """(item, document position minus item position) -> a document position that was hit."""
-        found: dict[tuple[int, int], int] = {}
-        for mask, keys, which, at, _ in self.tables:
-            hashes = seed_hashes(words, mask)
-            if not len(hashes) or not len(keys):
-                continue
-            maybe = np.flatnonzero(self.bits(mask)[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)])
-            low, high = np.searchsorted(keys, hashes[maybe], "left"), np.searchsorted(keys, hashes[maybe], "right")
-            for p, a, b in zip(maybe[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                for k in range(a, b):
-                    found.setdefault((int(which[k]), p - int(at[k])), p)
-        return found
-
-    def bits(self, mask: str) -> np.ndarray:
-        cache = self.__dict__.setdefault("_bits", {})
-        if mask not in cache:
-            cache[mask] = np.unpackbits(next(t[4] for t in self.tables if t[0] == mask)).astype(bool)
-        return cache[mask]
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_bits"}
-
-
 def best_stretch(equal: np.ndarray, max_subs: float) -> tuple[int, int]:
     """The longest-scoring stretch of a diagonal: a match adds ``max_subs``, a difference takes ``1 - max_subs``, so the share of differences in it is below ``max_subs``."""
     sums = np.concatenate([[0.0], np.cumsum(np.where(equal, max_subs, max_subs - 1.0))])
@@ -138,15 +97,13 @@ def widest_stretch(equal: np.ndarray, max_subs: float) -> tuple[int, int]:
     return (start + int(inside[0]), start + int(inside[-1]) + 1) if len(inside) else (0, 0)
 
 
-def overlaps(words: np.ndarray, index: Index, rule: Overlap) -> Iterator[tuple[int, int, int, int, int]]:
-    """(item_id, start, end, item_start, equal tokens) of each overlap, one for an item: the one with most equal tokens, then the first."""
-    best: dict[int, tuple[int, int, int, int]] = {}
-    for (k, shift), _ in index.diagonals(words).items():
-        item = index.items[k][1]
+def best_overlap(words: np.ndarray, item: np.ndarray, shifts: list[int], rule: Overlap) -> tuple[int, int, int, int] | None:
+    """(start, end, item_start, equal tokens) on the diagonals ``shifts`` (document position minus item position): the one with most equal tokens, then the first."""
+    best, need = None, needed(len(item), rule)
+    for shift in sorted(shifts):
         low, high = max(0, shift), min(len(words), shift + len(item))
         equal = words[low:high] == item[low - shift : high - shift]
-        need = needed(len(item), rule)
-        if np.count_nonzero(equal) < need:
+        if np.count_nonzero(equal) < (need if best is None else best[0]):
             continue
         start, end = best_stretch(equal, rule.max_subs)
         same = int(equal[start:end].sum())
@@ -155,64 +112,108 @@ def overlaps(words: np.ndarray, index: Index, rule: Overlap) -> Iterator[tuple[i
             same = int(equal[start:end].sum())
         if same >= need:
             new = (same, -(low + start), low + end, low + start - shift)
-            best[k] = max(best.get(k, new), new)
-    for k, (same, start, end, at) in sorted(best.items()):
-        yield index.items[k][0], -start, end, at, same
+            best = new if best is None else max(best, new)
+    return None if best is None else (-best[1], best[2], best[3], best[0])
 
 
-def blocks(benchmark: DataFrame, rule: Overlap, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """Parts of the benchmark of about ``block_tokens`` tokens each, read one after the other."""
-    block, size = [], 0
-    for row in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).dropna().orderBy("i", "t").toLocalIterator():
-        block.append((row["i"], row["t"]))
-        size += len(row["t"]) // 5 + 1
-        if size >= rule.block_tokens:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def seeds_of(items: DataFrame, rule: Overlap) -> DataFrame:
+    """(h, item, at): each seed of each item (item, text), and ``run``, the length of the item's run of equal tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds()
+        for batch in batches:
+            columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = tokens(text, ids)
+                length = run_length(len(words), rule)
+                for mask in dict.fromkeys([*MASKS, "1" * length]):
+                    hashes = seed_hashes(words, mask)
+                    for column, values in zip(columns, (hashes.view(np.int64), np.full(len(hashes), item), np.arange(len(hashes)), np.full(len(hashes), length)), strict=True):
+                        column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], ["h", "item", "at", "run"])
+
+    return items.mapInArrow(run, "h long, item long, at long, run long")
+
+
+def hits_of(texts: DataFrame, masks: list[str], table) -> DataFrame:
+    """(k1, k2, h, place): seeds of the texts (k1, k2, text) that some item may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = per_worker("decontaminate words", WordIds)
+        for batch in batches:
+            found: list[tuple[int, np.ndarray, np.ndarray]] = []
+            for k, text in enumerate(batch.column(2)):
+                words = tokens(text.as_py(), ids)
+                for mask in masks:
+                    hashes = seed_hashes(words, mask).view(np.int64)
+                    at = np.flatnonzero(in_table(table.value, hashes))
+                    if len(at):
+                        found.append((k, hashes[at], at))
+            row = np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)
+            h, place = (np.concatenate([np.zeros(0, np.int64), *(f[c] for f in found)]) for c in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(h), pa.array(place)], ["k1", "k2", "h", "place"])
+
+    return texts.mapInArrow(run, "k1 long, k2 long, h long, place long")
+
+
+def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts (k1, k2, text) of the digests in ``wanted``, each once. Others go on the map side, by a table of bits of fixed size."""
+    sent = texts.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.col("k1").alias("h"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_table(sent.value, batch.column(0).to_numpy(zero_copy_only=False))))
+
+    some = texts.mapInArrow(run, "k1 long, k2 long, text string").join(wanted, ["k1", "k2"], "left_semi")
+    return some.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+
+
+def _digests(docs: DataFrame, text_col: str, k1: str = "k1", k2: str = "k2") -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.withColumns({k1: F.xxhash64(text), k2: F.xxhash64(F.lit("second"), text)})
+
+
+def overlaps(texts: DataFrame, benchmark: DataFrame, rule: Overlap, item_col: str) -> DataFrame:
+    """(k1, k2, item_id, start_token, end_token, item_start, n_equal, n_tokens) of each different text (k1, k2, text) and item that overlap."""
+    items = checkpoint(benchmark.select(F.col(item_col).cast("long").alias("item"), F.col("text").alias("words")).dropna())
+    seeds = checkpoint(seeds_of(items, rule))
+    runs = [r[0] for r in seeds.select("run").distinct().collect()]  # a few short lengths, by the rule
+    masks = list(dict.fromkeys([*MASKS, *("1" * k for k in sorted(runs))]))
+    table = texts.sparkSession.sparkContext.broadcast(bit_table(seeds.select("h")))  # a fixed number of bits
+    hits = hits_of(texts, masks, table).distinct().join(seeds.drop("run"), "h")
+    pairs = checkpoint(hits.groupBy("k1", "k2", "item").agg(F.collect_set(F.col("place") - F.col("at")).alias("shifts")))
+    found = pairs.join(items, "item").join(texts_of(texts, pairs.select("k1", "k2").distinct()), ["k1", "k2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds()
+        for batch in batches:
+            rows = []
+            for k1, k2, item, shifts, words, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                document = tokens(text, ids)
+                best = best_overlap(document, tokens(words, ids), shifts, rule)
+                if best:
+                    rows.append((k1, k2, item, *best, len(document)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(8)], names)
+
+    names = ["k1", "k2", "item_id", "start_token", "end_token", "item_start", "n_equal", "n_tokens"]
+    return checkpoint(found.select("k1", "k2", "item", "shifts", "words", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names)))
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, rule: Overlap | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per row of ``docs`` and item that it overlaps: doc_id, item_id, start_token, end_token, item_start, n_equal, n_tokens.
 
     Null and empty texts overlap nothing; repeated rows are reported alike. Items of fewer than five tokens
-    are found whole only. Items without tokens are not found. An empty benchmark gives no rows.
+    are found whole only. Items without tokens or with a null id are not found. An empty benchmark gives no rows.
     """
-    rule = rule or Overlap()
-    context = docs.sparkSession.sparkContext
-    schema = "doc_id long, item_id long, start_token long, end_token long, item_start long, n_equal long, n_tokens long"
-    names = [c.split()[0] for c in schema.split(", ")]
-    out = docs.sparkSession.createDataFrame([], schema)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    for block in blocks(benchmark, rule, item_col, "text"):
-        sent = context.broadcast(Index(block, rule))  # bounded by block_tokens
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index, ids = sent.value, per_worker("decontaminate words", WordIds)
-            for batch in batches:
-                found = []
-                for i, text in zip(batch.column(0), batch.column(1), strict=True):
-                    words = tokens(text.as_py(), ids)
-                    found += [(i.as_py(), item, a, b, at, same, len(words)) for item, a, b, at, same in overlaps(words, index, rule)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(7)], names)
-
-        out = out.unionByName(rows.mapInArrow(run, schema))
-    return out
+    rows = _digests(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "text")
+    found = overlaps(rows.select("k1", "k2", "text"), benchmark, rule or Overlap(), item_col)
+    return rows.select("doc_id", "k1", "k2").join(found, ["k1", "k2"]).drop("k1", "k2")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, rule: Overlap | None = None, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The rows that overlap no item, columns unchanged. Each row is judged by its own text, so nothing is shuffled."""
-    rule = rule or Overlap()
-
-    def judge(sent):
-        def leaks(texts: pd.Series) -> pd.Series:
-            index, ids = sent.value, per_worker("decontaminate words", WordIds)
-            return texts.map(lambda t: next(overlaps(tokens(t, ids), index, rule), None) is not None)
-
-        return F.pandas_udf(leaks, "boolean")
-
-    for block in blocks(benchmark, rule, item_col, "text"):
-        leaks = judge(docs.sparkSession.sparkContext.broadcast(Index(block, rule)))  # bounded by block_tokens
-        docs = docs.filter(~leaks(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    return docs
+    """The rows that overlap no item, columns unchanged. Rows of one text are judged alike; null and empty texts stay. Only the digests of leaks are looked up."""
+    k1, k2 = fresh(docs, "k1", "k2")
+    texts = _digests(docs.select(F.col(text_col).cast("string").alias("text")), "text").select("k1", "k2", "text")
+    leaks = checkpoint(overlaps(texts, benchmark, rule or Overlap(), item_col).select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct())
+    leaks = F.broadcast(leaks) if leaks.count() <= SENT else leaks
+    return _digests(docs, text_col, k1, k2).join(leaks, [k1, k2], "left_anti").select(docs.columns)

@@ -237,8 +237,6 @@ def test_overlaps(spark):
     assert sorted(r.doc_id for r in rows) == [1, 2, 7] and {r.item_id for r in rows} == {1}
     assert next((r.start_token, r.end_token, r.n_equal) for r in rows if r.doc_id == 1) == (50, 50 + len(words), len(words))
     assert next(r.n_equal for r in rows if r.doc_id == 2) == len(words) - 2
-    many = decontaminate.find_overlaps(df, items, decontaminate.Overlap(block_tokens=1)).collect()  # a block for each item
-    assert sorted(map(tuple, many)) == sorted(map(tuple, rows))
     clean = decontaminate.clean_documents(df, items)
     assert clean.columns == df.columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 6, 7]
     assert decontaminate.find_overlaps(df, items.limit(0)).count() == 0 and decontaminate.clean_documents(df.limit(0), items).count() == 0
@@ -252,24 +250,49 @@ def test_spaced_seeds_tolerate_substitutions():
         assert decontaminate.seed_hashes(base, mask)[10] == decontaminate.seed_hashes(changed, mask)[10]
 
 
-def test_every_accepted_overlap_has_a_seed():
-    r, rule, ids = random.Random(12), decontaminate.Overlap(), decontaminate.WordIds()
+def test_every_accepted_overlap_has_a_seed(spark):
+    r, items, docs, want = random.Random(12), [], [], set()
     for n in [*range(1, 31), 60]:
         item = [f"item{n}x{k}" for k in range(n)]
-        index = decontaminate.Index([(1, " ".join(item))], rule)
+        items.append((n, " ".join(item)))
         for _ in range(40):
             words = list(item)
             for at in r.sample(range(n), n // 5):
                 words[at] = "other"
-            found = list(decontaminate.overlaps(decontaminate.tokens("a b " + " ".join(words) + " c", ids), index, rule))
-            assert [f[0] for f in found] == [1], (n, words)
+            want.add((len(docs), n))
+            docs.append((len(docs), "a b " + " ".join(words) + " c"))
         if n < 13:  # too many substitutions
-            words = item[: n - n // 5 - 1] + ["other"] * (n // 5 + 1)
-            assert not list(decontaminate.overlaps(decontaminate.tokens(" ".join(words), ids), index, rule))
-    item = "今天天气很好我们一起去公园散步吧"
-    index = decontaminate.Index([(1, item)], rule)
-    assert [f[0] for f in decontaminate.overlaps(decontaminate.tokens(f"他说{item}然后走了 and left", ids), index, rule)] == [1]
-    assert not list(decontaminate.overlaps(decontaminate.tokens("他说然后走了今天天气不好", ids), index, rule))
+            docs.append((len(docs), " ".join(item[: n - n // 5 - 1] + ["other"] * (n // 5 + 1))))
+    items.append((100, "今天天气很好我们一起去公园散步吧"))
+    want.add((len(docs), 100))
+    docs += [(len(docs), f"他说{items[-1][1]}然后走了 and left"), (len(docs) + 1, "他说然后走了今天天气不好")]
+    found = decontaminate.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in found.collect()} == want
+
+
+def test_overlaps_match_brute_force(spark):
+    r, rule = random.Random(4), decontaminate.Overlap(min_tokens=6, max_subs=0.25)
+    letters = "abcdefgh"
+    items = [(i, " ".join(r.choice(letters) for _ in range(r.choice([3, 6, 9, 15, 30])))) for i in range(12)] + [(50, " ".join(["same"] * 40))]
+    docs = []
+    for i in range(60):
+        words = r.choice(items[:12])[1].split() if i % 2 else []
+        words = [w if r.random() > 0.15 else r.choice(letters) for w in words]
+        docs.append((i, " ".join([*(r.choice(letters) for _ in range(r.randint(0, 25))), *words, *(r.choice(letters) for _ in range(10))])))
+    docs += [(90, " ".join(["same"] * 3000)), (90, docs[1][1]), (91, None)]
+    want = set()
+    for i, text in docs:
+        ids = decontaminate.WordIds()
+        words = decontaminate.tokens(text, ids)
+        for k, item in items:
+            other = decontaminate.tokens(item, ids)
+            best = decontaminate.best_overlap(words, other, range(1 - len(other), len(words)), rule)  # all diagonals
+            if best:
+                want.add((i, k, best[3]))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_overlaps(df, bench, rule).collect()
+    assert {(x.doc_id, x.item_id, x.n_equal) for x in got} == want and len(want) > 30
+    assert {x.doc_id for x in decontaminate.clean_documents(df, bench, rule).collect()} == {i for i, _ in docs} - {w[0] for w in want}
 
 
 def test_top_k_is_exact(spark):
