@@ -95,7 +95,7 @@ def _confirmed(kind: str, span: Column) -> Column:
 def find_pii(df: DataFrame, text_col: str = "text", rule: PiiRule | None = None, out: str = "spans") -> DataFrame:
     """Adds ``out``: array<struct<start,rank,end,kind,score>>, ordered by kind, then start.
 
-    Null and empty texts have none; other columns pass through; repeated rows are treated alike.
+    Null and empty texts have none; other columns pass through, but one that is called ``out`` is replaced; repeated rows are treated alike.
     An added span that touches a base span is left out.
     """
     rule = rule or PiiRule()

@@ -103,7 +103,7 @@ def _entropy_spans(candidate: Column, rule: EntropyRule) -> Column:
 def find_secrets(df: DataFrame, text_col: str = "text", rule: EntropyRule | None = None, out: str = "spans") -> DataFrame:
     """Adds ``out``: array<struct<start,rank,end,kind>> of all secrets, ordered by start, then kind.
 
-    Null and empty texts have no spans; repeated rows are scanned alike; other columns pass through.
+    Null and empty texts have no spans; repeated rows are scanned alike; other columns pass through, but one that is called ``out`` is replaced.
     """
     rule = rule or EntropyRule()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
