@@ -57,6 +57,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Rows that go to workers are whole texts, so a batch is of 1,000 rows, not 10,000, which costs memory on both sides. A value that the session has set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that is no longer needed, in whatever store it is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvspark.llm.base import checkpoint, fresh
-from kvspark.llm.words import WordIds, bit_table, in_table, mix, per_worker
+from kvspark.llm.base import checkpoint, fresh, text_batches
+from kvspark.llm.words import WordIds, bit_table, in_table, mix, per_worker, slices
 
 # Masks of one span; 1 is a token that counts, 0 one that may differ.
 MASKS = ("11111111", "110101101011", "111001011001", "101100110111")
@@ -121,7 +121,7 @@ def seeds_of(items: DataFrame, rule: Overlap) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
-        for batch in batches:
+        for batch in slices(batches):
             columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = tokens(text, ids)
@@ -140,7 +140,7 @@ def hits_of(texts: DataFrame, masks: list[str], table) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = per_worker("decontaminate words", WordIds)
-        for batch in batches:
+        for batch in slices(batches):
             found: list[tuple[int, np.ndarray, np.ndarray]] = []
             for k, text in enumerate(batch.column(2)):
                 words = tokens(text.as_py(), ids)
@@ -161,7 +161,7 @@ def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.col("k1").alias("h"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(in_table(sent.value, batch.column(0).to_numpy(zero_copy_only=False))))
 
     some = texts.mapInArrow(run, "k1 long, k2 long, text string").join(wanted, ["k1", "k2"], "left_semi")
@@ -175,6 +175,7 @@ def _digests(docs: DataFrame, text_col: str, k1: str = "k1", k2: str = "k2") ->
 
 def overlaps(texts: DataFrame, benchmark: DataFrame, rule: Overlap, item_col: str) -> DataFrame:
     """(k1, k2, item_id, start_token, end_token, item_start, n_equal, n_tokens) of each different text (k1, k2, text) and item that overlap."""
+    text_batches(texts.sparkSession)
     items = checkpoint(benchmark.select(F.col(item_col).cast("long").alias("item"), F.col("text").alias("words")).dropna())
     seeds = checkpoint(seeds_of(items, rule))
     runs = [r[0] for r in seeds.select("run").distinct().collect()]  # a few short lengths, by the rule
@@ -182,11 +183,12 @@ def overlaps(texts: DataFrame, benchmark: DataFrame, rule: Overlap, item_col: st
     table = texts.sparkSession.sparkContext.broadcast(bit_table(seeds.select("h")))  # a fixed number of bits
     hits = hits_of(texts, masks, table).distinct().join(seeds.drop("run"), "h")
     pairs = checkpoint(hits.groupBy("k1", "k2", "item").agg(F.collect_set(F.col("place") - F.col("at")).alias("shifts")))
+    table.unpersist()
     found = pairs.join(items, "item").join(texts_of(texts, pairs.select("k1", "k2").distinct()), ["k1", "k2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for k1, k2, item, shifts, words, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 document = tokens(text, ids)

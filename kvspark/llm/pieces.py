@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kvspark.llm.base import text_batches
 from kvspark.llm.words import mix, per_worker
 
 #: Units whose agendas are worked off together, and characters of text that are taken together.
@@ -330,6 +331,7 @@ def encode(df: DataFrame, path: str, dropout: float = 0.1, seed: int = 7, id_col
                     columns.append(pa.array(encoded, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
+    text_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_tokens", "ids_sha256", "lossless", "ids"][: 4 + with_ids]

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvspark.llm.base import checkpoint
+from kvspark.llm.base import checkpoint, text_batches
 from kvspark.llm.words import LOWER, WORD
 
 SEED = 42
@@ -154,6 +154,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts have fingerprint 0 and are linked like any other. Null ids get the component
     of their fingerprint; a component without any id has a null one.
     """
+    text_batches(df.sparkSession)
     rows = checkpoint(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", shingle, "mark"))
     nodes = rows.groupBy("mark").agg(F.min("id").alias("low"))
     roots = components(near_pairs(nodes.select("mark"), distance, groups))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvspark.llm.base import remove, shared_folder
+from kvspark.llm.base import remove, shared_folder, text_batches
 from kvspark.llm.words import bit_table, in_table, mix
 
 LENGTH, GRAM = 400, 64
@@ -351,6 +351,7 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     are ``length`` or more. Texts that are equal are worked on once. Nothing is capped.
     """
     spark = df.sparkSession
+    text_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     name = f"suffixes_{uuid.uuid4().hex}"
     folder = f"{shared_folder(spark)}/{name}"

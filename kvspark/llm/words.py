@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 class WordIds(dict):
     """Word to its 64-bit hash. It is emptied when it holds ``bound`` words, so a worker's memory stays bounded."""
 
-    def __init__(self, seed: int = 0, bound: int = 400_000):
+    def __init__(self, seed: int = 0, bound: int = 150_000):
         super().__init__()
         self.seed, self.bound = seed, bound
 
@@ -44,6 +46,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller parts, so that what a worker makes of one part goes on before the next is begun."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def per_worker(key, make):
     """What ``make`` returns, kept for all tasks of one Python worker (functions arrive by value, so their globals are not).
 
