@@ -70,12 +70,18 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows for which a partition of a checkpoint is worth its own files in the shuffles that follow.
+ROWS = 20_000
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    """Cuts the lineage with a reliable checkpoint in the shared folder. Few rows in many partitions are read in fewer."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    enough = max(1, -(-out.count() // ROWS))
+    return out.coalesce(enough) if enough < out._jdf.rdd().getNumPartitions() else out
 
 
 def regex_spans(text: Column, pattern: str, group: int = 0, only: Column | None = None) -> Column:
