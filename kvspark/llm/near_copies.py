@@ -179,7 +179,8 @@ def sets_of(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], ["number", "digest", "shingles"])
 
     made = texts.select("number", "digest", "text").mapInArrow(run, "number long, digest long, shingles array<long>")
-    return made.join(wanted, ["number", "digest"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    # all copies of a wanted text are made, so they are not broadcast either
+    return made.join(wanted.hint("merge"), ["number", "digest"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -248,7 +249,8 @@ def groups_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     lows = checkpoint(linked.groupBy("root").agg(F.min("low").alias("low")))
     # both written, so that a node or root with many rows can be split
     named = checkpoint(linked.drop("low").join(lows, "root").select("node", "low"))
-    return rows.select("id", "number", "digest", "node").join(named, "node").select("id", "number", "digest", "low")
+    # left, though each node is named: so the rows are never broadcast, however small their files are
+    return rows.select("id", "number", "digest", "node").join(named, "node", "left").select("id", "number", "digest", "low")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:

@@ -162,7 +162,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # written, so that a component or fingerprint with many rows can be split
     lows = checkpoint(linked.groupBy("root").agg(F.min("low").alias("component_id")))
     named = checkpoint(linked.join(lows, "root").select("mark", "component_id"))
-    return rows.join(named, "mark").select("id", F.col("mark").alias("fingerprint"), "component_id")
+    # each mark is named; a left join never broadcasts its left side, whose size is guessed from the compressed files: copies are many rows in few bytes
+    return rows.join(named, "mark", "left").select("id", F.col("mark").alias("fingerprint"), "component_id")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:

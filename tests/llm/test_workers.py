@@ -73,6 +73,22 @@ def test_near_duplicates_and_keep_one(spark):
     assert [r.doc_id for r in near_copies.keep_one(twice).collect()] == [1]
 
 
+def test_copies_in_small_files_are_not_broadcast(spark, tmp_path):
+    """Their size is guessed from the files, so at scale all rows of such a table went through the driver."""
+    path = str(tmp_path / "copies")
+    spark.range(20000).selectExpr("id AS doc_id", "concat('some words that are repeated in copy number ', id % 3) AS text").write.parquet(path)
+    df = spark.read.parquet(path)
+    for out in (simhash.near_duplicates(df), near_copies.groups_of(df)):
+        assert "BuildLeft" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 20000
+    marks = [simhash.fingerprint(f"some words that are repeated in copy number {k}") for k in range(3)]
+    assert all((marks[0] ^ m).bit_count() > 4 for m in marks[1:])
+    assert {(r.id % 3, r.component_id) for r in simhash.near_duplicates(df).collect()} == {(k, k if (marks[1] ^ marks[2]).bit_count() > 4 else min(k, 1)) for k in range(3)}
+    wanted = spark.createDataFrame([(1, 1, 1)], "number long, digest long, node long")
+    made = near_copies.sets_of(near_copies._marked(df, "doc_id", "text", "number", "digest"), wanted, 5)
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def shingle_set(text):
     return set(simhash.shingle_hashes(text, 5).tolist())
 
