@@ -11,7 +11,7 @@ Scripts without spaces are cut into characters. Neither the benchmark nor the hi
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +42,8 @@ class Overlap:
 
 #: Digests that are broadcast at most; more are joined by a shuffle.
 SENT = 200_000
+#: Tokens of neighbouring texts that are hashed at a time; a text that has more is hashed whole.
+JOINED = 1 << 15
 
 
 def tokens(text: str | None, ids: WordIds) -> np.ndarray:
@@ -60,6 +62,19 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
+def joined_tokens(texts: Iterable, ids: WordIds) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, tokens of some neighbouring texts, end of each in them): one array for many short texts saves most of the time that small arrays take."""
+    first, parts, size = 0, [], 0
+    for k, text in enumerate(texts):
+        parts.append(tokens(text.as_py(), ids))
+        size += len(parts[-1])
+        if size >= JOINED:
+            yield first, np.concatenate(parts), np.cumsum([len(p) for p in parts])
+            first, parts, size = k + 1, [], 0
+    if parts:
+        yield first, np.concatenate(parts), np.cumsum([len(p) for p in parts])
+
+
 def needed(n: int, rule: Overlap) -> int:
     """Equal tokens that an overlap with an item of ``n`` tokens needs."""
     return min(rule.min_tokens, math.ceil(n * (1 - rule.max_subs) - 1e-9))
@@ -141,16 +156,16 @@ def hits_of(texts: DataFrame, masks: list[str], table) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = per_worker("decontaminate words", WordIds)
         for batch in slices(batches):
-            found: list[tuple[int, np.ndarray, np.ndarray]] = []
-            for k, text in enumerate(batch.column(2)):
-                words = tokens(text.as_py(), ids)
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
+            for first, words, ends in joined_tokens(batch.column(2), ids):
                 for mask in masks:
                     hashes = seed_hashes(words, mask).view(np.int64)
                     at = np.flatnonzero(in_table(table.value, hashes))
-                    if len(at):
-                        found.append((k, hashes[at], at))
-            row = np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)
-            h, place = (np.concatenate([np.zeros(0, np.int64), *(f[c] for f in found)]) for c in (1, 2))
+                    text = np.searchsorted(ends, at, "right")
+                    whole = at + len(mask) <= ends[text]  # not across two texts
+                    at, text = at[whole], text[whole]
+                    found.append((first + text, hashes[at], at - np.concatenate([[0], ends])[text]))
+            row, h, place = (np.concatenate([f[c] for f in found]) for c in range(3))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(h), pa.array(place)], ["k1", "k2", "h", "place"])
 
     return texts.mapInArrow(run, "k1 long, k2 long, h long, place long")
@@ -209,7 +224,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, rule: Overlap | None =
     """
     rows = _digests(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "text")
     found = overlaps(rows.select("k1", "k2", "text"), benchmark, rule or Overlap(), item_col)
-    return rows.select("doc_id", "k1", "k2").join(found, ["k1", "k2"]).drop("k1", "k2")
+    # merged, as the rows' size is guessed from compressed files: copies are many rows in few bytes, and would be broadcast
+    return rows.select("doc_id", "k1", "k2").join(found.hint("merge"), ["k1", "k2"]).drop("k1", "k2")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, rule: Overlap | None = None, text_col: str = "text", item_col: str = "item_id") -> DataFrame:

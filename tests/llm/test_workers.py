@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -89,6 +90,23 @@ def test_copies_in_small_files_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_seeds_of_many_texts_at_a_time(spark, monkeypatch):
+    r = random.Random(4)
+    texts = [None, "", *(" ".join(r.choice("abcdefgh") for _ in range(r.choice([0, 1, 3, 11, 12, 13, 50]))) for _ in range(300)), "x y " * 30000, "a b c"]
+    ids, masks = decontaminate.WordIds(), [*decontaminate.MASKS, "11"]
+    groups = list(decontaminate.joined_tokens(pa.array(texts), ids))
+    assert len(groups) < 4  # one for each text, before
+    everything = np.full(1 << 24, 255, np.uint8)
+    df = spark.createDataFrame([(i, -i, t) for i, t in enumerate(texts)], "k1 long, k2 long, text string").coalesce(1)
+    got = {(x.k1, x.k2, x.h, x.place) for x in decontaminate.hits_of(df, masks, spark.sparkContext.broadcast(everything)).collect()}
+    want = set()
+    for i, text in enumerate(texts):
+        words = decontaminate.tokens(text, ids)
+        for mask in masks:
+            want |= {(i, -i, h, place) for place, h in enumerate(decontaminate.seed_hashes(words, mask).view(np.int64).tolist())}
+    assert got == want
+
+
 def shingle_set(text):
     return set(simhash.shingle_hashes(text, 5).tolist())
 
