@@ -161,6 +161,29 @@ def test_all_similar_pairs_are_linked(spark):
     assert {x.doc_id for x in near_copies.keep_one(df).collect()} == {find(i) for i in sets}
 
 
+@pytest.mark.parametrize("order", ["unknown", "backwards"])
+def test_groups_do_not_depend_on_the_learned_order(spark, monkeypatch, order):
+    """Counts of shingles, which come from a share of the documents, only order the shingles: other counts give the same groups."""
+    r, rows = random.Random(5), []
+    for n, most in ((30, 1), (120, 4)):
+        rows += similar_texts(r, n, [r.randint(1, most) for _ in range(20)], len(rows))
+    line = " ".join(f"license{k}" for k in range(12))
+    df = spark.createDataFrame([(i, f"{t} {line}" if i % 3 else t) for i, t in rows], "doc_id long, text string")
+    want = {x.id: x.low.id for x in near_copies.groups_of(df).collect()}
+    learned = near_copies.common_shingles
+
+    def other(texts, n, shingle):
+        common, counts = learned(texts, n, shingle)
+        assert len(common)
+        return (common[:0], counts[:0]) if order == "unknown" else (common, counts.max() + 1 - counts)
+
+    monkeypatch.setattr(near_copies, "common_shingles", other)
+    assert {x.id: x.low.id for x in near_copies.groups_of(df).collect()} == want
+    sets = {i: shingle_set(t) for i, t in ((x.doc_id, x.text) for x in df.collect())}
+    assert all(want[i] == want[k] for i in sets for k in sets if i < k and len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]))
+    assert 0 < sum(i != low for i, low in want.items()) < len(rows)
+
+
 def test_token_counts(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = token_counts.load(path)
