@@ -18,13 +18,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvspark.llm.base import checkpoint, text_batches
 from kvspark.llm.words import LOWER, WORD
 
 SEED = 42
+#: Links that one task holds while they become components, so that a round needs no shuffle; more are dealt to several.
+ALONE = 100_000
 _LOW = 0x5555555555555555
 #: Bits of each byte value, most significant first.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -127,24 +129,37 @@ def near_pairs(marks: DataFrame, distance: int = 4, groups: int = 7, node: str =
     return left.join(right, meets).select(F.col(f"l.{node}").alias("a"), F.col(f"r.{node}").alias("b"))
 
 
+def _each(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(u, v) for each of ``pairs`` of columns of each row. Not a union, which would deal out anew what one task holds."""
+    return df.select(F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])).alias("e")).select("e.u", "e.v")
+
+
+def _lowest(df: DataFrame, alone: bool) -> DataFrame:
+    """(u, v) with m, the smallest v of each u. Of one partition by a window, which needs no shuffle; else by a join, so that a u with many rows can be split."""
+    if alone:
+        return df.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    return df.join(df.groupBy("u").agg(F.min("v").alias("m")), "u")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) for every node of ``pairs`` (a, b): the smallest node that it can reach. Alternating large and small stars.
 
-    Each round cuts its lineage with a checkpoint; rounds grow with the logarithm of the longest chain.
+    Each round cuts its lineage with a checkpoint; rounds grow with the logarithm of the longest chain. Up to ``ALONE`` links are
+    one partition, for which a round is one task without a shuffle: many rounds of many small tasks cost the driver's memory.
     """
-    edges = checkpoint(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lows = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(lows, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lows.select("u", F.col("m").alias("v")))
-        edges = checkpoint(small.filter("u > v").distinct())
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if now == before:
-            break
-        before = now
+    edges = checkpoint(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), ALONE)
+
+    def state(df: DataFrame):
+        return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+
+    before, now = None, state(edges)
+    while now != before:
+        alone = now["n"] <= ALONE
+        both = _lowest(_each(edges, ("u", "v"), ("v", "u")), alone).withColumn("m", F.least("m", "u"))
+        large = both.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        small = _each(_lowest(large, alone), ("v", "m"), ("u", "m"))
+        edges = checkpoint(small.filter("u > v").distinct(), ALONE)
+        before, now = now, state(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
