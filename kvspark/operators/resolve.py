@@ -106,13 +106,23 @@ def seek_for_prev(log: DataFrame, key, as_of: int | None = None, limit: int = 1,
     return rows.orderBy(*[F.col(k).desc() for k in shape.keys]).limit(limit)
 
 
-def prefix_scan(log: DataFrame, prefix, as_of: int | None = None, shape: Shape = SHAPE) -> DataFrame:
-    """Live keys that begin with ``prefix``, as a range so that the scan can skip files."""
+def _begins(name: str, prefix) -> Column:
+    """That a key begins with ``prefix``, as a range so that the scan can skip files."""
     if isinstance(prefix, str):
-        name = shape.keys[0]
-        test = (F.col(name) >= F.lit(prefix)) & F.startswith(F.col(name), F.lit(prefix))
-        return visible(log.filter(test), as_of, shape).orderBy(*shape.keys)
-    return range_scan(log, prefix, prefix_end(prefix), as_of, shape=shape)
+        return (F.col(name) >= F.lit(prefix)) & F.startswith(F.col(name), F.lit(prefix))
+    return _bounds(name, prefix, prefix_end(prefix))
+
+
+def prefix_scan(log: DataFrame, prefix, as_of: int | None = None, shape: Shape = SHAPE) -> DataFrame:
+    """Live keys that begin with ``prefix``."""
+    return visible(log.filter(_begins(shape.keys[0], prefix)), as_of, shape).orderBy(*shape.keys)
+
+
+def prefix_versions(log: DataFrame, prefix, as_of: int | None = None, shape: Shape = SHAPE) -> DataFrame:
+    """All versions of the keys that begin with ``prefix``, deletes and repeated rows included, in internal order: key, then newest first."""
+    if as_of is not None:
+        log = log.filter(F.col(shape.seq) <= as_of)
+    return log.filter(_begins(shape.keys[0], prefix)).orderBy(*shape.keys, F.col(shape.seq).desc())
 
 
 def history(log: DataFrame, shape: Shape = SHAPE) -> DataFrame:
