@@ -126,7 +126,8 @@ def near_pairs(marks: DataFrame, distance: int = 4, groups: int = 7, node: str =
         & (F.bit_count(a.bitwiseXOR(b)) <= distance)
         & (agree.cast("long").bitwiseAND(upto) == own)
     )
-    return left.join(right, meets).select(F.col(f"l.{node}").alias("a"), F.col(f"r.{node}").alias("b"))
+    # merged by name: Spark takes an exploded table to be no larger than before, and would send this one, a row for each set, through the driver
+    return left.join(right.hint("merge"), meets).select(F.col(f"l.{node}").alias("a"), F.col(f"r.{node}").alias("b"))
 
 
 def _each(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
